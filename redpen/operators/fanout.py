@@ -25,7 +25,7 @@ def once_per_text(
     """
     counts = key_counts(sentences, [text])
     computed = compute(counts.select(text))
-    return spread_join(sentences, computed, [text], "inner", counts)
+    return spread_join(sentences, computed, [text], "left", counts)
 
 
 def successful_only(results: DataFrame, ok: str = "ok") -> DataFrame:
@@ -60,7 +60,7 @@ def reuse(
     computed = compute(asked.join(cache, text, "left_anti"))
     known = hits.unionByName(computed.withColumn("hit", F.lit(False)))
     refilled = cache.unionByName(computed)
-    return spread_join(requests, known, [text], "inner", counts), refilled
+    return spread_join(requests, known, [text], "left", counts), refilled
 
 
 def align(sentences: DataFrame, results: DataFrame, keys: list[str], column: str = "matches") -> DataFrame:

@@ -3,7 +3,7 @@
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/SHARES of all rows. At most SHARES keys
@@ -53,7 +53,7 @@ def spread_join(
 
 
 def running_total(
-    df: DataFrame, keys: list[str], levels: list[str], order: Column | str, value: str, out: str
+    df: DataFrame, keys: list[str], levels: list[str], order: str, value: str, out: str
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` in the order of ``levels`` then ``order``.
 
@@ -62,18 +62,29 @@ def running_total(
     coarser level, so no window holds a whole key.
     """
     groups = [*keys, *levels]
-    w = Window.partitionBy(*groups).orderBy(order)
-    fine = df.withColumn(out, F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    for depth in range(len(levels), 0, -1):
-        here, above, last = [*keys, *levels[:depth]], [*keys, *levels[: depth - 1]], levels[depth - 1]
-        totals = df.groupBy(*here).agg(F.sum(value).alias("_t"))
-        before = Window.partitionBy(*above).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
-        shift = totals.select(*here, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_shift"))
-        same = [fine[c].eqNullSafe(shift[c]) for c in here]
-        fine = (
-            fine.join(shift, functools.reduce(operator.and_, same), "inner")
-            .select(*[fine[c] for c in fine.columns], shift["_shift"])
-            .withColumn(out, F.col(out) + F.col("_shift"))
-            .drop("_shift")
+    totals = [df.groupBy(*groups).agg(F.sum(value).alias("_t"))]
+    for depth in range(len(levels) - 1, 0, -1):
+        totals.insert(0, totals[0].groupBy(*keys, *levels[:depth]).agg(F.sum("_t").alias("_t")))
+
+    shift = None
+    for depth, total in enumerate(totals, 1):
+        above = [*keys, *levels[: depth - 1]]
+        before = (
+            Window.partitionBy(*above).orderBy(levels[depth - 1])
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        here = total.select(
+            *above, levels[depth - 1], F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_shift")
         )
-    return fine
+        shift = here if shift is None else _add_shift(here, shift, above, "_shift")
+
+    within = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return _add_shift(df.withColumn(out, F.sum(value).over(within)), shift, groups, out)
+
+
+def _add_shift(df: DataFrame, shift: DataFrame, keys: list[str], target: str) -> DataFrame:
+    """Add the shift of the row's group to ``target``; null keys match."""
+    renamed = shift.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_shift").alias("_up"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = df.join(renamed, functools.reduce(operator.and_, same), "inner")
+    return joined.withColumn(target, F.col(target) + F.col("_up")).select(*df.columns)
