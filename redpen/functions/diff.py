@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redpen.functions.text import hold, let
+
 EDIT_DDL = "array<struct<op:string,i1:int,i2:int,j1:int,j2:int>>"
 
 def _sequence_edits() -> Callable[[Column, Column], Column]:
@@ -65,23 +67,27 @@ def _longest_run(tokens: Column, members: Column) -> Column:
     )
 
 
+def _stretch(a: Column, b: Column) -> Column:
+    """Longest stretch of tokens in ``a`` that are repeated in ``a`` or in ``b``."""
+    return let(F.array_union(_repeated(a), _repeated(b)), lambda r: _longest_run(a, r))
+
+
 def with_hunk(df: DataFrame, a: str, b: str) -> DataFrame:
     """Add the trimmed hunk and the route (``equal``, ``hunk`` or ``diff``) of each pair.
 
-    ``hunk`` is proven to be the exact diff: the middles share no token, and
-    every other place where the two sides could be aligned is shorter than the
-    shared prefix and the shared suffix. Such a place consists of repeated tokens
-    only, so the longest stretch of repeated tokens bounds it. Below 200 tokens
+    ``hunk`` is proven to be the exact diff. The middles share no token, so any
+    other alignment of the two sides is made of repeated tokens. If the longer of
+    the shared prefix and suffix beats the longest stretch of repeated tokens, the
+    matcher takes it first; what is left is the middle with the shorter one, and
+    the same holds there with the tokens repeated in that piece. Below 200 tokens
     the popularity rule of the matcher is off.
     """
     ca, cb = F.col(a), F.col(b)
     na, nb = F.size(ca), F.size(cb)
     shorter = F.least(na, nb)
-    df = df.withColumns({"_p": _common_prefix(ca, cb)})
-    df = df.withColumns(
-        {
-            "_s": F.least(_common_prefix(F.reverse(ca), F.reverse(cb)), shorter - F.col("_p")),
-        }
+    df = df.withColumn("_p", _common_prefix(ca, cb))
+    df = df.withColumn(
+        "_s", F.least(_common_prefix(F.reverse(ca), F.reverse(cb)), shorter - F.col("_p"))
     )
     p, s = F.col("_p"), F.col("_s")
     mid_a = F.slice(ca, p + 1, na - p - s)
@@ -93,21 +99,22 @@ def with_hunk(df: DataFrame, a: str, b: str) -> DataFrame:
         .when(nb == p + s, ~F.get(ca, na - s - 1).eqNullSafe(F.get(cb, p - 1)))
         .otherwise(F.lit(True))
     )
-    short_enough = F.greatest(na, nb) < 200
-    plain = short_enough & ends_differ & ~F.arrays_overlap(mid_a, mid_b)
-    repeated = F.array_union(_repeated(ca), _repeated(cb))
-    anchor = F.least(F.when(p > 0, p), F.when(s > 0, s))
-    df = df.withColumn("_plain", plain & (ca != cb))
-    df = df.withColumn(
-        "_stretch", F.when(F.col("_plain") & anchor.isNotNull(), _longest_run(ca, repeated))
-    )
-    return df.withColumn(
-        "_route",
+    plain = (ca != cb) & (F.greatest(na, nb) < 200) & ends_differ & ~F.arrays_overlap(mid_a, mid_b)
+    df = df.withColumn("_whole", F.when(plain, _stretch(ca, cb)))
+    # The piece that is left after the longer anchor.
+    piece = F.when(
+        p >= s, _stretch(F.slice(ca, p + 1, na - p), F.slice(cb, p + 1, nb - p))
+    ).otherwise(_stretch(F.slice(ca, F.lit(1), na - s), F.slice(cb, F.lit(1), nb - s)))
+    long_wins = (F.greatest(p, s) == 0) | (F.greatest(p, s) > F.col("_whole"))
+    short_wins = F.when(F.least(p, s) == 0, F.lit(True)).otherwise(F.least(p, s) > piece)
+    proven = F.when(F.col("_whole").isNotNull() & long_wins, short_wins).otherwise(F.lit(False))
+    route = (
         F.when(ca == cb, "equal")
         .when((na == 0) | (nb == 0), "hunk")
-        .when(F.col("_plain") & (anchor.isNull() | (F.col("_stretch") < anchor)), "hunk")
-        .otherwise("diff"),
-    ).drop("_plain", "_stretch")
+        .when(proven, "hunk")
+        .otherwise("diff")
+    )
+    return hold(df, {"_route": route}).drop("_whole")
 
 
 def with_edits(df: DataFrame, a: str, b: str, out: str = "edits") -> DataFrame:
@@ -126,9 +133,9 @@ def with_edits(df: DataFrame, a: str, b: str, out: str = "edits") -> DataFrame:
     df = df.withColumn(
         "_diff", _sequence_edits()(F.when(slow, F.col(a)), F.when(slow, F.col(b)))
     )
-    return df.withColumn(
-        out,
+    edits = (
         F.when(route == "equal", F.array().cast(EDIT_DDL))
         .when(route == "hunk", F.array(hunk).cast(EDIT_DDL))
-        .otherwise(F.col("_diff")),
-    ).drop("_p", "_s", "_route", "_diff")
+        .otherwise(F.col("_diff"))
+    )
+    return hold(df, {out: edits}).drop("_p", "_s", "_route", "_diff")

@@ -9,26 +9,31 @@ WS = (
     r"[\t-\r \x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-NS = "[^" + WS[1:]
+# Listed as ranges, printable ASCII first: a negated union is twice as slow in Java.
+NS = (
+    r"[!-~[[^\x00-\x7f]&&[^\x85\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]\x00-\x08\x0e-\x1b\x7f]"
+)
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
 # --- fixed values -----------------------------------------------------------
 # Clean-up steps for the spacing that generation models leave behind. Order
-# matters; every step replaces all non-overlapping hits from left to right.
+# matters; every step replaces all non-overlapping hits from left to right. The
+# first entry is the character without which a step changes nothing.
 TOKENIZATION_FIXES = [
-    (f"({WORD}){WS}+'{WS}+({WORD})", "$1'$2"),
-    (f"({WORD})'{WS}+({WORD})", "$1'$2"),
-    (f"({WORD}){WS}+'({WORD})", "$1'$2"),
-    (rf"{WS}+\.", "."),
-    (f"{WS}+,", ","),
-    (rf"{WS}+\?", "?"),
-    (f"{WS}+!", "!"),
-    (f"{WS}+;", ";"),
-    (f"({WORD}){WS}+:", "$1:"),
-    (f'"{WS}+({NS})', '" $1'),
-    (f'({NS}){WS}+"', '$1 "'),
-    (f"([a-zA-Z]){WS}+-{WS}+([a-zA-Z])", "$1-$2"),
+    ("'", f"({WORD}){WS}+'{WS}+({WORD})", "$1'$2"),
+    ("'", f"({WORD})'{WS}+({WORD})", "$1'$2"),
+    ("'", f"({WORD}){WS}+'({WORD})", "$1'$2"),
+    (".", rf"{WS}+\.", "."),
+    (",", f"{WS}+,", ","),
+    ("?", rf"{WS}+\?", "?"),
+    ("!", f"{WS}+!", "!"),
+    (";", f"{WS}+;", ";"),
+    (":", f"({WORD}){WS}+:", "$1:"),
+    ('"', f'"{WS}+({NS})', '" $1'),
+    ('"', f'({NS}){WS}+"', '$1 "'),
+    ("-", f"([a-zA-Z]){WS}+-{WS}+([a-zA-Z])", "$1-$2"),
 ]
 
 # Emoji and pictographs. The block from 24C2 to 1F251 also covers CJK.

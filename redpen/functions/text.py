@@ -1,6 +1,8 @@
 """Column expressions over text: tokens, offsets, clean-up, stripping."""
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpen.functions import patterns as P
@@ -20,19 +22,46 @@ def _fold_sums(values: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def hold(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that later filters on them are not rewritten in terms of their inputs.
+
+    The optimizer moves a filter below a projection by copying the expression,
+    which multiplies nested array expressions. It does not move one below a
+    generator, so the columns pass through a generator of one row.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    held = df.select(*kept, F.explode_outer(F.array(row)).alias("_held"))
+    return held.select(*kept, *[F.col(f"_held.{name}").alias(name) for name in columns])
+
+
 def running_sums(values: Column) -> Column:
     """Inclusive running sums of an int array, in the row."""
-    n_blocks = F.ceil(F.size(values) / F.lit(BLOCK)).cast("int")
-    blocks = F.transform(
-        F.sequence(F.lit(0), n_blocks - 1),
-        lambda b: _fold_sums(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))),
-    )
-    totals = F.transform(blocks, lambda b: F.get(b, F.size(b) - 1))
-    shifts = F.slice(F.concat(F.array(F.lit(0)), _fold_sums(totals)), F.lit(1), n_blocks)
-    blocked = F.flatten(
-        F.zip_with(blocks, shifts, lambda b, s: F.transform(b, lambda x: x + s))
+
+    def blocked(v: Column) -> Column:
+        n_blocks = F.ceil(F.size(v) / F.lit(BLOCK)).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), n_blocks - 1),
+            lambda b: _fold_sums(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))),
+        )
+
+        def shifted(bs: Column) -> Column:
+            totals = F.transform(bs, lambda b: F.get(b, F.size(b) - 1))
+            shifts = F.slice(
+                F.concat(F.array(F.lit(0)), _fold_sums(totals)), F.lit(1), F.size(bs)
+            )
+            return F.flatten(F.zip_with(bs, shifts, lambda b, s: F.transform(b, lambda x: x + s)))
+
+        return let(blocks, shifted)
+
+    return let(
+        values, lambda v: F.when(F.size(v) <= BLOCK, _fold_sums(v)).otherwise(blocked(v))
     )
-    return F.when(F.size(values) <= BLOCK, _fold_sums(values)).otherwise(blocked)
 
 
 def starts_of(pieces: Column, tokens: Column) -> Column:
@@ -63,11 +92,18 @@ def lib_token_starts(text: Column) -> Column:
 
 def fix_tokenization(text: Column) -> Column:
     """Undo the spacing mistakes of generation models."""
-    for pattern, replacement in P.TOKENIZATION_FIXES:
-        text = F.regexp_replace(text, pattern, replacement)
+    for mark, pattern, replacement in P.TOKENIZATION_FIXES:
+        # The plain search is far cheaper than the pattern.
+        text = let(text, _replace_where(mark, pattern, replacement))
     return text
 
 
+def _replace_where(mark: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(
+        F.contains(t, F.lit(mark)), F.regexp_replace(t, pattern, replacement)
+    ).otherwise(t)
+
+
 def rstrip(text: Column) -> Column:
     return F.regexp_replace(text, f"{P.WS}+$", "")
 

@@ -146,6 +146,10 @@ def tags_by_sentence(tags: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _of_pass(number: int):
+    return lambda t: t.pass_no == number
+
+
 def apply_tags(
     sentences: DataFrame,
     tags: DataFrame,
@@ -166,10 +170,7 @@ def apply_tags(
     nested = tags_by_sentence(tags.where(F.col("pass_no") <= n_iteration), keys)
     df = sentences.join(nested, keys, "left").withColumn("_tok", X.ws_tokens(F.col(text)))
     for number in range(1, n_iteration + 1):
-        mine = F.filter(
-            F.coalesce("_tags", F.array()), lambda t, n=number: t.pass_no == n
-        )
-        df = df.withColumn("_mine", mine)
+        df = df.withColumns({"_mine": F.filter("_tags", _of_pass(number))})
         sure = F.coalesce(
             F.array_max(F.transform("_mine", lambda t: t.p_error)) >= min_error_prob, F.lit(False)
         )

@@ -22,10 +22,10 @@ PLAIN_DDL = (
 # --- plain path: whitespace tokens -----------------------------------------
 
 
-def with_plain_edits(pairs: DataFrame, fix: bool = True) -> DataFrame:
-    """Add ``fixed``, tokens and starts of both sides, and ``edits``."""
+def with_plain_tokens(pairs: DataFrame, fix: bool = True) -> DataFrame:
+    """Add ``fixed`` and the whitespace tokens and starts of both sides."""
     df = pairs.withColumn("fixed", X.fix_tokenization(F.col("corrected")) if fix else F.col("corrected"))
-    df = df.withColumns(
+    return df.withColumns(
         {
             "a_tok": X.ws_tokens(F.col("original")),
             "a_pos": X.ws_token_starts(F.col("original")),
@@ -33,7 +33,11 @@ def with_plain_edits(pairs: DataFrame, fix: bool = True) -> DataFrame:
             "b_pos": X.ws_token_starts(F.col("fixed")),
         }
     )
-    return with_edits(df, "a_tok", "b_tok")
+
+
+def with_plain_edits(pairs: DataFrame, fix: bool = True) -> DataFrame:
+    """Add ``fixed``, tokens and starts of both sides, and ``edits``."""
+    return with_edits(with_plain_tokens(pairs, fix), "a_tok", "b_tok")
 
 
 def _end(pos: Column, tok: Column, i: Column) -> Column:
@@ -85,9 +89,8 @@ def with_plain_matches(pairs: DataFrame, min_length: int = 1, fix: bool = True)
     """Add ``matches``, the array of plain matches of each pair, in edit order."""
     df = with_plain_edits(pairs, fix)
     found = F.transform(F.col("edits"), lambda e: _plain_match(e, max(1, min_length)))
-    return df.withColumn("matches", F.filter(found, lambda m: m.isNotNull()).cast(PLAIN_DDL)).drop(
-        "a_tok", "a_pos", "b_tok", "b_pos", "fixed", "edits"
-    )
+    matches = F.filter(found, lambda m: m.isNotNull()).cast(PLAIN_DDL)
+    return X.hold(df, {"matches": matches}).drop("a_tok", "a_pos", "b_tok", "b_pos", "fixed", "edits")
 
 
 def explode_matches(df: DataFrame, column: str = "matches", index: str = "match_idx") -> DataFrame:
@@ -112,8 +115,8 @@ def plain_matches(pairs: DataFrame, min_length: int = 1, fix: bool = True) -> Da
 def merge_adjacent_ops(edits: DataFrame, min_length: int = 1) -> DataFrame:
     """Matches for a hand-made opcode table whose operations may touch each other.
 
-    Input rows: ``original, corrected, edits`` with tokens as :func:`with_plain_edits`
-    leaves them. An insertion directly before a deletion or replacement takes the
+    Input rows: ``original, corrected, edits`` with tokens as :func:`with_plain_tokens`
+    adds them. An insertion directly before a deletion or replacement takes the
     next token and swallows that operation; a deletion directly before an insertion
     or replacement takes its text. Operations are walked left to right, so a
     swallowed one cannot swallow the next.
@@ -266,7 +269,7 @@ def with_typed_edits(pairs: DataFrame, fix: bool = True, split: bool = True) ->
             "o_tok", "c_tok"
         ),
     )
-    return df.withColumn("edits", coded).drop("a_tok", "a_pos", "b_tok", "b_pos", "fixed", "_ops")
+    return X.hold(df, {"edits": coded}).drop("a_tok", "a_pos", "b_tok", "b_pos", "fixed", "_ops")
 
 
 def token_span_to_chars(
@@ -341,7 +344,7 @@ def with_typed_matches(
     matches = typed_match_array(
         F.col("original"), F.col("n_tokens"), F.col("edits"), F.lit(rule_id), min_length
     )
-    return df.withColumn("matches", matches).drop("edits", "n_tokens")
+    return X.hold(df, {"matches": matches}).drop("edits", "n_tokens")
 
 
 def typed_edits(pairs: DataFrame, fix: bool = True, split: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redpen.functions.text import hold
 from redpen.operators import correctors as C
 from redpen.operators import edits as E
 from redpen.operators import fanout, merge, project
@@ -13,6 +14,10 @@ MATCH_DDL = (
 )
 
 
+def _numbered(corrector_idx: int):
+    return lambda m, i: m.withField("corrector_idx", F.lit(corrector_idx)).withField("match_idx", i)
+
+
 def match_texts(
     texts: DataFrame, correctors: list[C.Corrector], text: str = "text", batch: bool = True
 ) -> DataFrame:
@@ -29,16 +34,13 @@ def match_texts(
             {"original": F.col(text), "corrected": F.coalesce("corrected", F.col(text))}
         )
         df = E.with_typed_matches(df, corrector.effective_rule_id, corrector.min_length)
-        numbered = F.transform(
-            "matches",
-            lambda m, i, k=idx: m.withField("corrector_idx", F.lit(k)).withField("match_idx", i),
-        )
+        numbered = F.transform("matches", _numbered(idx))
         df = df.withColumn(f"_m{idx}", numbered.cast(MATCH_DDL)).drop(
             "matches", "corrected", "original", "error"
         )
     each = [F.col(f"_m{i}") for i in range(len(correctors))]
     together: Column = F.concat(*each) if each else F.array().cast(MATCH_DDL)
-    return df.withColumn("matches", merge.merge_arrays(together)).drop(
+    return hold(df, {"matches": merge.merge_arrays(together)}).drop(
         *[f"_m{i}" for i in range(len(correctors))]
     )
 

@@ -101,3 +101,45 @@ def edges(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "sent_idx", F.explode_outer(kinds).alias("x")).select(
         "doc_id", "sent_idx", "x.kind", "x.original", "x.corrected"
     )
+
+
+def known_edits(df: DataFrame) -> DataFrame:
+    """Typed edits whose span is known by construction, one row per kind.
+
+    Columns as the typed extractor leaves them, plus the token arrays of both
+    sides: a new first letter case, an appended period and colon, a colon in
+    place of trailing spaces, a changed emoji, a reversed token, a missing token
+    and two swapped tokens.
+    """
+    tok = X.lib_tokens(F.col("clean"))
+    df = df.withColumns({"t": tok, "p": X.lib_token_starts(F.col("clean"))})
+    n = F.size("t")
+    k = ((F.col("doc_id") * 31 + F.col("sent_idx") * 7) % n).cast("int")
+    df = df.withColumns({"n_tokens": n, "k": k})
+    clean, t, k, n = F.col("clean"), F.col("t"), F.col("k"), F.col("n_tokens")
+    none = F.array().cast("array<string>")
+    head = F.get(t, F.lit(0))
+    turned = F.concat(F.upper(F.substring(head, 1, 1)), F.substring(head, F.lit(2), F.length(head)))
+    two = F.slice(t, k + 1, F.lit(2))
+
+    def edit(kind, original, start, end, o_tok, c_tok):
+        return F.struct(
+            F.lit(kind).alias("kind"), original.alias("original"), start.alias("o_start"),
+            end.alias("o_end"), F.array_join(o_tok, " ").alias("o_str"),
+            F.array_join(c_tok, " ").alias("c_str"), o_tok.alias("o_tok"), c_tok.alias("c_tok"),
+        )
+
+    at_end = [
+        ("period", clean, "."), ("colon", clean, ":"), ("spaces", F.concat(clean, F.lit("  ")), ":"),
+        ("emoji", clean, "😀"),
+    ]
+    kinds = [edit("case", clean, F.lit(0), F.lit(1), F.array(head), F.array(turned))]
+    kinds += [edit(name, text, n, n, none, F.array(F.lit(new))) for name, text, new in at_end]
+    kinds += [
+        edit("reversed", clean, k, k + 1, F.array(F.get(t, k)), F.array(F.reverse(F.get(t, k)))),
+        edit("missing", clean, k, k, none, F.array(F.get(t, k))),
+        edit("unneeded", clean, k, k + 1, F.array(F.get(t, k)), none),
+        edit("swapped", clean, k, F.least(k + 2, n), two, F.reverse(two)),
+    ]
+    rows = df.select("doc_id", "sent_idx", "n_tokens", "t", "p", F.explode_outer(F.array(*kinds)).alias("x"))
+    return rows.select("doc_id", "sent_idx", "n_tokens", "t", "p", "x.*")

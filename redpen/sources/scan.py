@@ -54,3 +54,15 @@ def read_rewrites(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     """The first ``n`` rows by ``order``: a top-n, not a full sort."""
     return df.orderBy(order).limit(n)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a table that comes in fewer files than there are task slots.
+
+    A single small file is one task however many cores there are. Tables with
+    many files are left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= slots:
+        return df
+    return df.repartition(slots, key)

@@ -11,4 +11,5 @@ def stream_table(
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path)
+    # As a pattern the path may name a single file as well as a folder.
+    return reader.load(f"{path[:-1]}[{path[-1]}]")
