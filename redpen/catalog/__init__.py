@@ -5,7 +5,7 @@ import importlib
 
 from redpen.catalog.base import Query, wide
 
-MODULES = ["texts", "edits"]
+MODULES = ["texts", "edits", "service", "reports"]
 
 
 def _modules():

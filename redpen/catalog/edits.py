@@ -390,4 +390,8 @@ ORACLES["d5_adjacent"] = _given_sql(
        FROM (SELECT *, unnest([0, nc - 1]) AS at, unnest([tok[nc], tok[1] || ' ' || tok[nc]]) AS r FROM dmg) d
        JOIN wtoks w ON d.doc_id = w.doc_id AND d.sent_idx = w.sent_idx AND w.pos = d.at""",
 )
-ORACLES["d9_spelling"] = ORACLES["d9_spelling"].replace("spark_levenshtein", "levenshtein")
+# DuckDB counts bytes; map the accented letters of the corpus to single bytes first.
+_ASCII = "translate({}, 'áàâäéèêëíìîïñóòôöúùûüçßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
+ORACLES["d9_spelling"] = ORACLES["d9_spelling"].replace(
+    "spark_levenshtein(o, w)", f"levenshtein({_ASCII.format('o')}, {_ASCII.format('w')})"
+)

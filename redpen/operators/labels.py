@@ -60,8 +60,9 @@ def spelling_codes(
     old = vocab.select(F.col("token").alias("_o"), F.col("n").alias("_o_n"))
     new = vocab.select(F.col("token").alias("_c"), F.col("n").alias("_c_n"))
     df = edits.withColumns({"_o": F.lower("o_str"), "_c": F.lower("c_str")})
-    df = spread_join(df, old, ["_o"], "left")
-    df = spread_join(df, new, ["_c"], "left")
+    # Frequent words of the corpus are the frequent words among the edits.
+    df = spread_join(df, old, ["_o"], "left", old.withColumnRenamed("_o_n", "_rows"))
+    df = spread_join(df, new, ["_c"], "left", new.withColumnRenamed("_c_n", "_rows"))
     word = "^" + P.WORD + "+$"
     spelling = (
         (F.col("code") == "R:OTHER")
