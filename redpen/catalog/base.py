@@ -105,8 +105,8 @@ def sql_strip(text: str) -> str:
     return f"regexp_replace({text}, '^{P.WS}+|{P.WS}+$', '', 'g')"
 
 
-def sql_rules(text: str, rules: list[tuple[str, str]]) -> str:
-    for pattern, replacement in rules:
+def sql_rules(text: str, rules: list[tuple]) -> str:
+    for pattern, replacement, *_ in rules:
         rep = replacement.replace("$", "\\")
         text = f"regexp_replace({text}, '{pattern}', '{rep}', 'g')"
     return text
@@ -116,5 +116,5 @@ def sql_emoji(text: str) -> str:
     return f"array_to_string({sql_ws_tokens(f'regexp_replace({text}, ' + chr(39) + P.EMOJI + chr(39) + ', ' + chr(39)*2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, ' ')"
 
 
-def word_rule(old: str, new: str) -> tuple[str, str]:
-    return (f"(^|{P.NOT_WORD}){old}({P.NOT_WORD}|$)", f"$1{new}$2")
+def word_rule(old: str, new: str) -> tuple[str, str, str]:
+    return (f"(^|{P.NOT_WORD}){old}({P.NOT_WORD}|$)", f"$1{new}$2", old)

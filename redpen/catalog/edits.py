@@ -113,7 +113,8 @@ def d6_min_length(spark, sf):
 def _spans(spark, sf):
     """Known edits with character spans and neighbours, and the anchored match."""
     df = damage.known_edits(clean(spark, sf))
-    offset, length = E.token_span_to_chars(F.col("t"), F.col("p"), F.col("o_start"), F.col("o_end"))
+    offset, length = E.token_span_to_chars(
+        E.Side(F.col("original"), F.col("t"), F.col("p")), F.col("o_start"), F.col("o_end"))
     return df.withColumn(
         "e",
         F.struct(

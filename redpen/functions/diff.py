@@ -75,6 +75,8 @@ def _stretch(a: Column, b: Column) -> Column:
 def with_hunk(df: DataFrame, a: str, b: str) -> DataFrame:
     """Add the trimmed hunk and the route (``equal``, ``hunk`` or ``diff``) of each pair.
 
+    Null arrays count as equal.
+
     ``hunk`` is proven to be the exact diff. The middles share no token, so any
     other alignment of the two sides is made of repeated tokens. If the longer of
     the shared prefix and suffix beats the longest stretch of repeated tokens, the
@@ -109,7 +111,7 @@ def with_hunk(df: DataFrame, a: str, b: str) -> DataFrame:
     short_wins = F.when(F.least(p, s) == 0, F.lit(True)).otherwise(F.least(p, s) > piece)
     proven = F.when(F.col("_whole").isNotNull() & long_wins, short_wins).otherwise(F.lit(False))
     route = (
-        F.when(ca == cb, "equal")
+        F.when(ca.isNull() | (ca == cb), "equal")
         .when((na == 0) | (nb == 0), "hunk")
         .when(proven, "hunk")
         .otherwise("diff")

@@ -9,6 +9,11 @@ WS = (
     r"[\t-\r \x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The characters of WS, for trimming.
+WS_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 # Listed as ranges, printable ASCII first: a negated union is twice as slow in Java.
 NS = (
     r"[!-~[[^\x00-\x7f]&&[^\x85\x{a0}\x{1680}\x{2000}-\x{200a}"

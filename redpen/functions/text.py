@@ -9,7 +9,7 @@ from redpen.functions import patterns as P
 
 # Running sums are folded in blocks so that one very long row costs n * BLOCK
 # element copies, not n * n.
-BLOCK = 128
+BLOCK = 32
 
 
 def _fold_sums(values: Column) -> Column:
@@ -64,10 +64,24 @@ def running_sums(values: Column) -> Column:
     )
 
 
-def starts_of(pieces: Column, tokens: Column) -> Column:
+def starts_of(pieces: Column) -> Column:
     """Start offset of every token. ``pieces`` are the tokens with their leading whitespace."""
     ends = running_sums(F.transform(pieces, lambda p: F.length(p)))
-    return F.zip_with(ends, tokens, lambda e, t: e - F.length(t))
+    return F.zip_with(ends, pieces, lambda e, p: e - F.length(bare(p)))
+
+
+def bare(piece: Column) -> Column:
+    """A piece without its leading whitespace."""
+    return F.ltrim(piece, F.lit(P.WS_CHARS))
+
+
+def bare_tokens(pieces: Column) -> Column:
+    return F.transform(pieces, bare)
+
+
+def ws_pieces(text: Column) -> Column:
+    """Whitespace-separated tokens, each with the whitespace before it."""
+    return F.regexp_extract_all(text, F.lit(f"{P.WS}*{P.NS}+"), F.lit(0))
 
 
 def ws_tokens(text: Column) -> Column:
@@ -76,8 +90,12 @@ def ws_tokens(text: Column) -> Column:
 
 
 def ws_token_starts(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(f"{P.WS}*{P.NS}+"), F.lit(0))
-    return starts_of(pieces, ws_tokens(text))
+    return let(ws_pieces(text), starts_of)
+
+
+def lib_pieces(text: Column) -> Column:
+    """Tokens with punctuation and English clitics split off, with the whitespace before them."""
+    return F.regexp_extract_all(text, F.lit(f"{P.WS}*{P.LIB_TOKEN}"), F.lit(0))
 
 
 def lib_tokens(text: Column) -> Column:
@@ -86,19 +104,19 @@ def lib_tokens(text: Column) -> Column:
 
 
 def lib_token_starts(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(f"{P.WS}*{P.LIB_TOKEN}"), F.lit(0))
-    return starts_of(pieces, lib_tokens(text))
+    return let(lib_pieces(text), starts_of)
 
 
 def fix_tokenization(text: Column) -> Column:
     """Undo the spacing mistakes of generation models."""
     for mark, pattern, replacement in P.TOKENIZATION_FIXES:
         # The plain search is far cheaper than the pattern.
-        text = let(text, _replace_where(mark, pattern, replacement))
+        text = let(text, replace_where(mark, pattern, replacement))
     return text
 
 
-def _replace_where(mark: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
+def replace_where(mark: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
+    """A pattern replacement that first looks for a string the pattern needs."""
     return lambda t: F.when(
         F.contains(t, F.lit(mark)), F.regexp_replace(t, pattern, replacement)
     ).otherwise(t)

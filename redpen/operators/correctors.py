@@ -60,10 +60,17 @@ def registry_columns(correctors: list[Corrector]) -> Column:
     )
 
 
-def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Ordered pattern table; ``$1`` refers to a group."""
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+def apply_rules(text: Column, rules: list[tuple]) -> Column:
+    """Ordered table of (pattern, replacement); ``$1`` refers to a group.
+
+    A third entry names a string without which the pattern cannot match; looking
+    for it first saves most of the pattern work.
+    """
+    for pattern, replacement, *needed in rules:
+        if needed:
+            text = X.let(text, X.replace_where(needed[0], pattern, replacement))
+        else:
+            text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
@@ -135,14 +142,21 @@ def rewrite(df: DataFrame, corrector: Corrector, text: str = "text", out: str =
     ).drop("_prompt")
 
 
-def tags_by_sentence(tags: DataFrame, keys: list[str]) -> DataFrame:
-    """Per sentence, the best tag of each (pass, position) is chosen later; here they are nested.
+def tags_by_sentence(tags: DataFrame, keys: list[str], keep_confidence: float = 0.0) -> DataFrame:
+    """Per sentence, the winning tag of each (pass, position) and its error probability.
 
-    A sentence has a bounded number of tags per token, so the list is bounded by
-    its length.
+    One shuffle by sentence serves both steps. A sentence has at most one winner
+    per token and pass, so the list is bounded by its length.
     """
-    return tags.groupBy(*keys).agg(
-        F.collect_list(F.struct("pass_no", "pos", "tag", "prob", "p_error")).alias("_tags")
+    keep = F.col("tag") == "$KEEP"
+    score = F.col("prob") + F.when(keep, keep_confidence).otherwise(0.0)
+    best = (
+        tags.repartition(*keys)
+        .groupBy(*keys, "pass_no", "pos")
+        .agg(F.max(F.struct(score.alias("s"), keep.alias("k"), "tag")).alias("b"), F.max("p_error").alias("p_error"))
+    )
+    return best.groupBy(*keys).agg(
+        F.collect_list(F.struct("pass_no", "pos", F.col("b.tag").alias("tag"), "p_error")).alias("_tags")
     )
 
 
@@ -150,6 +164,19 @@ def _of_pass(number: int):
     return lambda t: t.pass_no == number
 
 
+def _edited(token: Column, pos: Column) -> Column:
+    tag = F.try_element_at("_mine", pos)
+    rest = F.when(F.startswith(tag, F.lit("$REPLACE_")), F.substring(tag, F.lit(10), F.length(tag))).otherwise(
+        F.substring(tag, F.lit(9), F.length(tag))
+    )
+    return (
+        F.when(tag == "$DELETE", F.array().cast("array<string>"))
+        .when(F.startswith(tag, F.lit("$REPLACE_")), F.array(rest))
+        .when(F.startswith(tag, F.lit("$APPEND_")), F.array(token, rest))
+        .otherwise(F.array(token))
+    )
+
+
 def apply_tags(
     sentences: DataFrame,
     tags: DataFrame,
@@ -167,37 +194,18 @@ def apply_tags(
     below ``min_error_prob`` changes nothing. All passes run inside the row after
     one join.
     """
-    nested = tags_by_sentence(tags.where(F.col("pass_no") <= n_iteration), keys)
+    nested = tags_by_sentence(tags.where(F.col("pass_no") <= n_iteration), keys, keep_confidence)
     df = sentences.join(nested, keys, "left").withColumn("_tok", X.ws_tokens(F.col(text)))
     for number in range(1, n_iteration + 1):
-        df = df.withColumns({"_mine": F.filter("_tags", _of_pass(number))})
-        sure = F.coalesce(
-            F.array_max(F.transform("_mine", lambda t: t.p_error)) >= min_error_prob, F.lit(False)
-        )
-
-        def chosen(pos: Column) -> Column:
-            here = F.filter("_mine", lambda t: t.pos == pos)
-            scored = F.transform(
-                here,
-                lambda t: F.struct(
-                    (t.prob + F.when(t.tag == "$KEEP", keep_confidence).otherwise(0.0)).alias("s"),
-                    (t.tag == "$KEEP").alias("k"),
-                    t.tag.alias("tag"),
-                ),
-            )
-            return F.coalesce(F.array_max(scored).tag, F.lit("$KEEP"))
-
-        def edited(token: Column, pos: Column) -> Column:
-            tag = chosen(pos)
-            return (
-                F.when(tag == "$DELETE", F.array().cast("array<string>"))
-                .when(F.startswith(tag, F.lit("$REPLACE_")), F.array(F.substring(tag, F.lit(10), F.length(tag))))
-                .when(F.startswith(tag, F.lit("$APPEND_")), F.array(token, F.substring(tag, F.lit(9), F.length(tag))))
-                .otherwise(F.array(token))
-            )
-
+        df = df.withColumn("_now", F.filter("_tags", _of_pass(number)))
+        changes = F.filter("_now", lambda t: t.tag != "$KEEP")
+        entries = F.transform(changes, lambda t: F.struct(t.pos, t.tag))
+        sure = F.array_max(F.transform("_now", lambda t: t.p_error)) >= min_error_prob
+        df = df.withColumn("_mine", F.when(sure, F.map_from_entries(entries)))
         df = df.withColumn(
             "_tok",
-            F.when(sure, F.flatten(F.transform("_tok", edited))).otherwise(F.col("_tok")),
+            F.when(F.col("_mine").isNull() | (F.size("_mine") == 0), F.col("_tok")).otherwise(
+                F.flatten(F.transform("_tok", _edited))
+            ),
         )
-    return df.withColumn(out, F.array_join("_tok", " ")).drop("_tok", "_tags", "_mine")
+    return df.withColumn(out, F.array_join("_tok", " ")).drop("_tok", "_tags", "_mine", "_now")

@@ -19,41 +19,91 @@ PLAIN_DDL = (
 )
 
 
-# --- plain path: whitespace tokens -----------------------------------------
+# With at most this many edits in a row, offsets are looked up one by one; beyond
+# it the offsets of all tokens are computed once.
+FEW = 8
 
 
-def with_plain_tokens(pairs: DataFrame, fix: bool = True) -> DataFrame:
-    """Add ``fixed`` and the whitespace tokens and starts of both sides."""
-    df = pairs.withColumn("fixed", X.fix_tokenization(F.col("corrected")) if fix else F.col("corrected"))
+class Side:
+    """Tokens of one side of a pair and their offsets in its text."""
+
+    def __init__(self, text: Column, tok: Column, pos: Column, pieces: Column | None = None) -> None:
+        self.text, self.tok, self.pos, self.pieces = text, tok, pos, pieces
+
+    def start(self, i: Column) -> Column:
+        """Offset of token ``i``, null out of range."""
+        if self.pieces is None:
+            return F.get(self.pos, i)
+        upto = F.length(F.array_join(F.slice(self.pieces, 1, i + 1), ""))
+        looked_up = F.when((i >= 0) & (i < F.size(self.tok)), upto - F.length(F.get(self.tok, i)))
+        return F.when(self.pos.isNotNull(), F.get(self.pos, i)).otherwise(looked_up)
+
+    def end(self, i: Column) -> Column:
+        return self.start(i) + F.length(F.get(self.tok, i))
+
+    def between(self, i: Column, j: Column) -> Column:
+        """Text from token ``i`` to token ``j - 1``, inner spacing kept."""
+        start = self.start(i)
+        return F.when(j > i, F.substring(self.text, start + 1, self.end(j - 1) - start)).otherwise("")
+
+
+def _original() -> Side:
+    return Side(F.col("original"), F.col("a_tok"), F.col("a_pos"), F.col("a_piece"))
+
+
+def _fixed() -> Side:
+    return Side(F.col("fixed"), F.col("b_tok"), F.col("b_pos"), F.col("b_piece"))
+
+
+def _with_sides(df: DataFrame, pieces, live: Column) -> DataFrame:
+    """Add pieces and tokens of both sides; null where ``live`` is false."""
+    df = df.withColumns(
+        {
+            "a_piece": pieces(F.when(live, F.col("original"))),
+            "b_piece": pieces(F.when(live, F.col("fixed"))),
+        }
+    )
+    return df.withColumns(
+        {"a_tok": X.bare_tokens(F.col("a_piece")), "b_tok": X.bare_tokens(F.col("b_piece"))}
+    )
+
+
+def _with_starts(df: DataFrame, edits: str) -> DataFrame:
+    """Add the offsets of all tokens where a row has many edits, else null."""
+    many = F.size(edits) > FEW
     return df.withColumns(
         {
-            "a_tok": X.ws_tokens(F.col("original")),
-            "a_pos": X.ws_token_starts(F.col("original")),
-            "b_tok": X.ws_tokens(F.col("fixed")),
-            "b_pos": X.ws_token_starts(F.col("fixed")),
+            "a_pos": F.when(many, X.starts_of(F.col("a_piece"))),
+            "b_pos": F.when(many, X.starts_of(F.col("b_piece"))),
         }
     )
 
 
-def with_plain_edits(pairs: DataFrame, fix: bool = True) -> DataFrame:
-    """Add ``fixed``, tokens and starts of both sides, and ``edits``."""
-    return with_edits(with_plain_tokens(pairs, fix), "a_tok", "b_tok")
+WORK_COLUMNS = ["a_piece", "b_piece", "a_tok", "b_tok", "a_pos", "b_pos", "fixed"]
+
+
+# --- plain path: whitespace tokens -----------------------------------------
+
 
+def with_plain_tokens(pairs: DataFrame, fix: bool = True, live: Column | None = None) -> DataFrame:
+    """Add ``fixed`` and the whitespace tokens of both sides."""
+    df = pairs.withColumn("fixed", X.fix_tokenization(F.col("corrected")) if fix else F.col("corrected"))
+    return _with_sides(df, X.ws_pieces, F.lit(True) if live is None else live)
 
-def _end(pos: Column, tok: Column, i: Column) -> Column:
-    return F.get(pos, i) + F.length(F.get(tok, i))
 
+def with_plain_edits(pairs: DataFrame, fix: bool = True) -> DataFrame:
+    """Add ``fixed``, tokens of both sides, and ``edits``.
 
-def _side_text(text: Column, pos: Column, tok: Column, i: Column, j: Column) -> Column:
-    """Text from token ``i`` to token ``j - 1``, inner spacing kept."""
-    start = F.get(pos, i)
-    return F.when(j > i, F.substring(text, start + 1, _end(pos, tok, j - 1) - start)).otherwise("")
+    Where the texts agree the tokens stay null: most pairs need no tokens at all.
+    """
+    df = with_plain_tokens(pairs, fix, F.col("fixed") != F.col("original"))
+    return with_edits(df, "a_tok", "b_tok")
 
 
 def _plain_match(e: Column, min_length: int) -> Column:
-    a_tok, a_pos, original = F.col("a_tok"), F.col("a_pos"), F.col("original")
-    new = _side_text(F.col("fixed"), F.col("b_pos"), F.col("b_tok"), e.j1, e.j2)
-    before, after = F.get(a_tok, e.i1 - 1), F.get(a_tok, e.i2)
+    old = _original()
+    new = _fixed().between(e.j1, e.j2)
+    before, after = F.get(old.tok, e.i1 - 1), F.get(old.tok, e.i2)
 
     def match(start, end, replacement, match_type=None):
         return F.struct(
@@ -65,9 +115,9 @@ def _plain_match(e: Column, min_length: int) -> Column:
             F.lit(match_type).cast("int").alias("match_type"),
         )
 
-    first, last_end = F.get(a_pos, e.i1), _end(a_pos, a_tok, e.i2 - 1)
-    before_start, before_end = F.get(a_pos, e.i1 - 1), _end(a_pos, a_tok, e.i1 - 1)
-    after_start, after_end = F.get(a_pos, e.i2), _end(a_pos, a_tok, e.i2)
+    first, last_end = old.start(e.i1), old.end(e.i2 - 1)
+    before_start, before_end = old.start(e.i1 - 1), old.end(e.i1 - 1)
+    after_start, after_end = old.start(e.i2), old.end(e.i2)
     return (
         F.when(
             e.op == "replace",
@@ -87,10 +137,10 @@ def _plain_match(e: Column, min_length: int) -> Column:
 
 def with_plain_matches(pairs: DataFrame, min_length: int = 1, fix: bool = True) -> DataFrame:
     """Add ``matches``, the array of plain matches of each pair, in edit order."""
-    df = with_plain_edits(pairs, fix)
+    df = _with_starts(with_plain_edits(pairs, fix), "edits")
     found = F.transform(F.col("edits"), lambda e: _plain_match(e, max(1, min_length)))
     matches = F.filter(found, lambda m: m.isNotNull()).cast(PLAIN_DDL)
-    return X.hold(df, {"matches": matches}).drop("a_tok", "a_pos", "b_tok", "b_pos", "fixed", "edits")
+    return X.hold(df, {"matches": matches}).drop(*WORK_COLUMNS, "edits")
 
 
 def explode_matches(df: DataFrame, column: str = "matches", index: str = "match_idx") -> DataFrame:
@@ -122,55 +172,54 @@ def merge_adjacent_ops(edits: DataFrame, min_length: int = 1) -> DataFrame:
     swallowed one cannot swallow the next.
     """
     ops = F.col("edits")
-    a_tok, a_pos = F.col("a_tok"), F.col("a_pos")
+    old, new = _original(), _fixed()
+    least = max(1, min_length)
 
     def joins(e: Column, n: Column) -> Column:
         """True when ``e`` swallows its right neighbour ``n``."""
         ins = (e.op == "insert") & n.op.isin("delete", "replace") & (n.i1 == e.i1)
-        span = _end(a_pos, a_tok, e.i2 - 1) - F.get(a_pos, e.i1)
         dele = (
             (e.op == "delete")
             & n.op.isin("insert", "replace")
             & (n.i1 == e.i2)
             & (n.j2 > n.j1)
-            & (span >= max(1, min_length))
+            & (old.end(e.i2 - 1) - old.start(e.i1) >= least)
         )
         return F.coalesce(ins | dele, F.lit(False))
 
     # State per operation: was it swallowed by the one before it?
     swallowed = F.aggregate(
-        F.transform(ops, lambda e, i: F.coalesce(joins(e, F.get(ops, i + 1)), F.lit(False))),
+        F.transform(ops, lambda e, i: joins(e, F.get(ops, i + 1))),
         F.array(F.lit(False)),
         lambda acc, j: F.concat(acc, F.array(j & ~F.get(acc, F.size(acc) - 1))),
     )
 
     def match(e: Column, i: Column) -> Column:
         n = F.get(ops, i + 1)
-        merged = F.get(swallowed, i + 1)
-        inserted = _side_text(F.col("fixed"), F.col("b_pos"), F.col("b_tok"), e.j1, e.j2)
-        nxt = _side_text(F.col("fixed"), F.col("b_pos"), F.col("b_tok"), n.j1, n.j2)
-        start = F.get(a_pos, e.i1)
-        token = F.get(a_tok, e.i1)
-        replacement = F.when(e.op == "insert", F.concat(inserted, F.lit(" "), token)).otherwise(nxt)
-        length = F.when(e.op == "insert", F.length(token)).otherwise(
-            _end(a_pos, a_tok, e.i2 - 1) - start
-        )
+        start, token = old.start(e.i1), F.get(old.tok, e.i1)
+        inserts = e.op == "insert"
+        replacement = F.when(
+            inserts, F.concat(new.between(e.j1, e.j2), F.lit(" "), token)
+        ).otherwise(new.between(n.j1, n.j2))
         joined = F.struct(
             e.op.alias("op"),
             start.alias("offset"),
-            length.alias("length"),
+            F.when(inserts, F.length(token)).otherwise(old.end(e.i2 - 1) - start).alias("length"),
             replacement.alias("replacement"),
             replacement.alias("message"),
             F.lit(None).cast("int").alias("match_type"),
         )
-        return F.when(F.get(swallowed, i), F.lit(None)).when(merged, joined).otherwise(
-            _plain_match(e, max(1, min_length))
+        return (
+            F.when(F.get(F.col("_gone"), i), F.lit(None))
+            .when(F.get(F.col("_gone"), i + 1), joined)
+            .otherwise(_plain_match(e, least))
         )
 
+    df = _with_starts(edits, "edits")
+    df = df.withColumn("_gone", swallowed)
     found = F.filter(F.transform(ops, match), lambda m: m.isNotNull())
-    keep = [c for c in edits.columns if c not in
-            ("a_tok", "a_pos", "b_tok", "b_pos", "fixed", "edits", "original", "corrected")]
-    return explode_matches(edits.select(*keep, found.cast(PLAIN_DDL).alias("matches")))
+    df = df.withColumn("matches", found.cast(PLAIN_DDL))
+    return explode_matches(df.drop(*WORK_COLUMNS, "edits", "_gone", "original", "corrected"))
 
 
 # --- typed path: library-like tokens, suppression, labels --------------------
@@ -228,38 +277,30 @@ def with_typed_edits(pairs: DataFrame, fix: bool = True, split: bool = True) ->
     next_token, next_offset, prev_token, prev_offset, code``.
     """
     df = pairs.withColumn("fixed", X.fix_tokenization(F.col("corrected")) if fix else F.col("corrected"))
-    df = df.withColumns(
-        {
-            "a_tok": X.lib_tokens(F.col("original")),
-            "a_pos": X.lib_token_starts(F.col("original")),
-            "b_tok": X.lib_tokens(F.col("fixed")),
-            "b_pos": X.lib_token_starts(F.col("fixed")),
-        }
-    )
+    # Where the texts agree the tokens stay null: most pairs need no tokens at all.
+    df = _with_sides(df, X.lib_pieces, F.col("fixed") != F.col("original"))
     df = with_edits(df, "a_tok", "b_tok", "_ops")
-    a_tok, a_pos, b_tok, b_pos = (F.col(c) for c in ("a_tok", "a_pos", "b_tok", "b_pos"))
-    ops = split_hunks(a_tok, b_tok, F.col("_ops")) if split else F.col("_ops")
-    n = F.size(a_tok)
-    df = df.withColumns({"n_tokens": n, "_ops": ops})
+    old, new = _original(), _fixed()
+    ops = split_hunks(old.tok, new.tok, F.col("_ops")) if split else F.col("_ops")
+    df = df.withColumns({"n_tokens": F.size("a_tok"), "_ops": ops})
+    df = _with_starts(df, "_ops")
 
     def described(e: Column) -> Column:
-        o_str = _side_text(F.col("original"), a_pos, a_tok, e.i1, e.i2)
-        c_str = _side_text(F.col("fixed"), b_pos, b_tok, e.j1, e.j2)
-        offset, length = token_span_to_chars(a_tok, a_pos, e.i1, e.i2)
+        offset, length = token_span_to_chars(old, e.i1, e.i2)
         return F.struct(
             e.op.alias("op"),
             e.i1.alias("o_start"),
             e.i2.alias("o_end"),
-            o_str.alias("o_str"),
-            c_str.alias("c_str"),
+            old.between(e.i1, e.i2).alias("o_str"),
+            new.between(e.j1, e.j2).alias("c_str"),
             offset.alias("span_offset"),
             length.alias("span_length"),
-            F.get(a_tok, e.i1).alias("next_token"),
-            F.get(a_pos, e.i1).alias("next_offset"),
-            F.get(a_tok, e.i1 - 1).alias("prev_token"),
-            F.get(a_pos, e.i1 - 1).alias("prev_offset"),
-            F.slice(a_tok, e.i1 + 1, e.i2 - e.i1).alias("o_tok"),
-            F.slice(b_tok, e.j1 + 1, e.j2 - e.j1).alias("c_tok"),
+            F.get(old.tok, e.i1).alias("next_token"),
+            old.start(e.i1).alias("next_offset"),
+            F.get(old.tok, e.i1 - 1).alias("prev_token"),
+            old.start(e.i1 - 1).alias("prev_offset"),
+            F.slice(old.tok, e.i1 + 1, e.i2 - e.i1).alias("o_tok"),
+            F.slice(new.tok, e.j1 + 1, e.j2 - e.j1).alias("c_tok"),
         )
 
     df = df.withColumn("edits", F.transform(F.col("_ops"), described))
@@ -269,16 +310,14 @@ def with_typed_edits(pairs: DataFrame, fix: bool = True, split: bool = True) ->
             "o_tok", "c_tok"
         ),
     )
-    return X.hold(df, {"edits": coded}).drop("a_tok", "a_pos", "b_tok", "b_pos", "fixed", "_ops")
+    return X.hold(df, {"edits": coded}).drop(*WORK_COLUMNS, "_ops")
 
 
-def token_span_to_chars(
-    tok: Column, pos: Column, start: Column, end: Column
-) -> tuple[Column, Column]:
+def token_span_to_chars(side: Side, start: Column, end: Column) -> tuple[Column, Column]:
     """Character offset and length of a token span, empty spans included."""
-    text_end = F.coalesce(_end(pos, tok, F.size(tok) - 1), F.lit(0))
-    offset = F.coalesce(F.get(pos, start), text_end)
-    length = F.when(start == end, 0).otherwise(_end(pos, tok, end - 1) - offset)
+    text_end = F.coalesce(side.end(F.size(side.tok) - 1), F.lit(0))
+    offset = F.coalesce(side.start(start), text_end)
+    length = F.when(start == end, 0).otherwise(side.end(end - 1) - offset)
     return offset, length
 
 

@@ -5,6 +5,8 @@ and replaced, then a category. Categories come from surface form and closed word
 classes only, so they agree with a linguistic annotator on those alone.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from redpen.operators.skew import spread_join
 
 
 def _labels() -> Column:
-    return F.create_map(*[F.lit(x) for pair in P.ERROR_LABELS.items() for x in pair])
+    return F.from_json(F.lit(json.dumps(P.ERROR_LABELS)), "map<string,string>")
 
 
 def label_of(code: Column) -> Column:
@@ -35,7 +37,9 @@ def edit_code(o_str: Column, c_str: Column, o_tok: Column, c_tok: Column) -> Col
         return ((o_str == "") | o_str.rlike(pattern)) & ((c_str == "") | c_str.rlike(pattern))
 
     def in_class(words: list[str]) -> Column:
-        return ((o_str == "") | o_low.isin(words)) & ((c_str == "") | c_low.isin(words))
+        """Every side that has text is one of the words."""
+        listed = "^(?:" + "|".join(words) + ")?$"
+        return o_low.rlike(listed) & c_low.rlike(listed)
 
     category = (
         F.when(bare(o_low) == bare(c_low), "ORTH")
