@@ -12,12 +12,13 @@ from redpen.operators.merge import nested_results
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder the session names in ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, a local temporary folder is used and set.
+    Where that is unset, as in tests, a local temporary folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="redpen-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="redpen-"))
+        base = context.getCheckpointDir()
     return f"{base}/{purpose}-{uuid.uuid4().hex}"
 
 
