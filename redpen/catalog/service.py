@@ -18,10 +18,11 @@ from redpen.streaming import jobs
 IDS = ["doc_id", "sent_idx"]
 
 # Words of the test corpus and what the table-driven correctors make of them. No
-# new word occurs in the corpus, and 'rewh' is corrected alike by two of them.
-_A = [word_rule("rewh", "rewrite"), word_rule("hehely", "heavily"), word_rule("ononst", "onset")]
-_B = [word_rule("rewh", "rewrite"), word_rule("inoran", "inboard")]
-_C = [word_rule("ononst", "onrush"), word_rule("orantion", "oration"), (r"(\p{L})([,;])", "$1 $2")]
+# new word occurs in the corpus, and 'th' is corrected alike by two of them.
+# A rule takes the separators with it, so words next to each other need a second turn.
+_A = 2 * [word_rule("th", "thaw"), word_rule("er", "errand"), word_rule("hehely", "heavily")]
+_B = 2 * [word_rule("th", "thaw"), word_rule("thhe", "thesis")]
+_C = 2 * [word_rule("er", "ergo"), word_rule("thth", "thrift")] + [(r"(\p{L})([,;])", "$1 $2")]
 CORRECTORS = [
     C.Corrector("tagger", kind="gector", rules=_A),
     C.Corrector("speller", kind="coedit", rule_id="SPELLER", rules=_B),
@@ -172,7 +173,7 @@ def u2_rules(spark, sf):
 def _prompted():
     """User function that answers a prompt."""
     def run(prompts):
-        return [p.removeprefix("Fix grammatical errors: ").replace("hehely", "heavily") for p in prompts]
+        return [p.removeprefix("Fix grammatical errors: ").replace("thth", "thrift") for p in prompts]
 
     return run
 
@@ -326,9 +327,9 @@ ORACLES = {
       false AS failed FROM sents""",
     "u2_rules": f"WITH {SENTS} SELECT doc_id, sent_idx, md5({_CORRECTED}) AS digest FROM sents",
     "u3_four_stages": f"""WITH {_ELIGIBLE}, {_TOKENS} SELECT doc_id, sent_idx, start AS "offset", length(token) AS length,
-      replace(token, 'hehely', 'heavily') AS replacement, 'Other / Uncategorized' AS description,
+      replace(token, 'thth', 'thrift') AS replacement, 'Other / Uncategorized' AS description,
       'Other / Uncategorized' AS message, 'model' AS rule_id, CAST(2 AS BIGINT) AS match_type
-      FROM toks WHERE contains(token, 'hehely')""",
+      FROM toks WHERE contains(token, 'thth')""",
     "u4_tags": f"""WITH {SENTS}, w AS (SELECT doc_id, sent_idx, {sql_ws_tokens('text')} AS t FROM sents),
       p1 AS (SELECT doc_id, sent_idx, list_filter(t, lambda x: x <> 'the') AS a,
         len(t) > 0 AND doc_id % 2 = 0 AS sure FROM w)

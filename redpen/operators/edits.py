@@ -239,33 +239,36 @@ def split_hunks(a_tok: Column, b_tok: Column, edits: Column) -> Column:
             F.sequence(lo, hi - 1), lambda p: (p == lo) | ~F.get(tok, p).rlike(_CLITIC)
         )
 
-    def parts(e: Column) -> Column:
-        ha, hb = heads(a_tok, e.i1, e.i2), heads(b_tok, e.j1, e.j2)
+    def whole(e: Column) -> Column:
+        return F.array(F.struct(e.op, e.i1, e.i2, e.j1, e.j2))
+
+    # Equal words inside a split hunk are no edit.
+    def differs(x: Column) -> Column:
+        return F.slice(a_tok, x.i1 + 1, x.i2 - x.i1) != F.slice(b_tok, x.j1 + 1, x.j2 - x.j1)
 
-        def one(lo: Column, k: Column) -> Column:
-            return F.struct(
+    def parts(e: Column) -> Column:
+        def one(h: Column):
+            return lambda lo, k: F.struct(
                 F.lit("replace").alias("op"),
                 lo.alias("i1"),
-                F.coalesce(F.get(ha, k + 1), e.i2).alias("i2"),
-                F.get(hb, k).alias("j1"),
-                F.coalesce(F.get(hb, k + 1), e.j2).alias("j2"),
+                F.coalesce(F.get(h.a, k + 1), e.i2).alias("i2"),
+                F.get(h.b, k).alias("j1"),
+                F.coalesce(F.get(h.b, k + 1), e.j2).alias("j2"),
             )
 
-        # Equal words inside a split hunk are no edit.
-        def differs(x: Column) -> Column:
-            return F.slice(a_tok, x.i1 + 1, x.i2 - x.i1) != F.slice(b_tok, x.j1 + 1, x.j2 - x.j1)
-
-        split = F.filter(F.transform(ha, one), differs)
-        return F.when(
-            (e.op == "replace") & (F.size(ha) == F.size(hb)) & (F.size(ha) > 1), split
-        ).otherwise(F.array(F.struct(e.op, e.i1, e.i2, e.j1, e.j2)))
+        both = F.struct(heads(a_tok, e.i1, e.i2).alias("a"), heads(b_tok, e.j1, e.j2).alias("b"))
+        return X.let(
+            both,
+            lambda h: F.when(
+                (F.size(h.a) == F.size(h.b)) & (F.size(h.a) > 1),
+                F.filter(F.transform(h.a, one(h)), differs),
+            ).otherwise(whole(e)),
+        )
 
     return F.flatten(
         F.transform(
             edits,
-            lambda e: F.when(e.op == "replace", parts(e)).otherwise(
-                F.array(F.struct(e.op, e.i1, e.i2, e.j1, e.j2))
-            ),
+            lambda e: F.when(e.op == "replace", parts(e)).otherwise(whole(e)),
         )
     )
 
