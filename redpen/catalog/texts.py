@@ -185,14 +185,14 @@ ORACLES = {
       WHERE regexp_matches(lang, '^en.*$') AND length(text) <= 1000""",
     "p7_time_budget": f"WITH {SENTS} SELECT doc_id, sent_idx, 5000 + 100 * length(text) AS budget_ms FROM sents",
     "p8_wire": f"""WITH {SENTS}, {FLAGS} SELECT doc_id, sent_idx, "offset", length, replacement, corrector_idx,
-      CASE corrector_idx WHEN 1 THEN 'GrammaredLanguage' ELSE 'r' || corrector_idx END AS id, '' AS sub_id,
+      CASE corrector_idx WHEN 1 THEN '{P.DEFAULT_RULE_ID}' ELSE 'r' || corrector_idx END AS id, '' AS sub_id,
       CAST(0 AS BIGINT) AS n_suggestions,
       CASE WHEN corrector_idx <> 2 THEN replacement ELSE '' END AS match_description,
       CASE WHEN corrector_idx <> 2 THEN replacement ELSE '' END AS match_short_description,
       CAST(CASE WHEN corrector_idx = 0 THEN 0.5 ELSE -1 END AS DOUBLE) AS confidence, true AS auto_correct,
       CAST(0 AS BIGINT) AS type, CAST(0 AS BIGINT) AS context_for_sure_match,
       CASE corrector_idx WHEN 1 THEN 'why' END AS rule_description,
-      CASE WHEN corrector_idx > 0 THEN 'grammared_language' END AS source_file,
+      CASE WHEN corrector_idx > 0 THEN '{P.DEFAULT_SOURCE_FILE}' END AS source_file,
       CASE WHEN corrector_idx > 0 THEN 'style' END AS issue_type,
       CASE WHEN corrector_idx = 2 THEN 'Style Suggestion' END AS category_name
       FROM flags""",

@@ -94,14 +94,16 @@ STYLE_TAGS = {
     7: "objective",
     8: "elegant",
 }
-CORRECTOR_KINDS = ["gector", "grammared_classifier", "coedit", "text2text", "openai"]
+CORRECTOR_KINDS = ["gector", "classifier", "coedit", "text2text", "openai"]
 DEFAULT_PROMPT = "Fix grammatical errors: {{ text }}"
-DEFAULT_RULE_ID = "GrammaredLanguage"
-DEFAULT_SOURCE_FILE = "grammared_language"
 REPLACE_OPEN, REPLACE_CLOSE = "<|start_of_replace|>", "<|end_of_replace|>"
 SEP_TOKEN, CLS_TOKEN = "<SEP>", "<CLS>"
 # ----------------------------------------------------------------------------
 
+# Names used where a match or its rule has none; parameters of the operators.
+DEFAULT_RULE_ID = "redpen"
+DEFAULT_SOURCE_FILE = "redpen"
+
 # Closed word classes of English used to type edits.
 CLOSED_CLASSES = {
     "DET": "a an the this that these those each every some any no another".split(),

@@ -91,7 +91,9 @@ def _or(column: str, default: str) -> F.Column:
     return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(default))
 
 
-def wire_matches(matches: DataFrame, default_id: str = P.DEFAULT_RULE_ID) -> DataFrame:
+def wire_matches(
+    matches: DataFrame, default_id: str = P.DEFAULT_RULE_ID, source_file: str = P.DEFAULT_SOURCE_FILE
+) -> DataFrame:
     """Fill defaults the way the service reports a match.
 
     The match type is always 0 and ``auto_correct`` always true. Columns that the
@@ -127,7 +129,7 @@ def wire_matches(matches: DataFrame, default_id: str = P.DEFAULT_RULE_ID) -> Dat
     }
     if "rule" in have:
         rule = F.col("rule")
-        source = F.coalesce(F.nullif(rule["id"], F.lit("")), F.lit(P.DEFAULT_SOURCE_FILE))
+        source = F.coalesce(F.nullif(rule["id"], F.lit("")), F.lit(source_file))
         out["rule_description"] = rule["description"]
         out["rule"] = F.when(
             rule.isNotNull(),
