@@ -1,6 +1,5 @@
 """Writing matches, and places for intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +11,12 @@ from redpen.operators.merge import nested_results
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder the session names in ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, a local temporary folder is used.
+    Where that is unset, the folder lies in the session's warehouse, which all
+    executors share as well. Never a machine-local temporary folder.
     """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="redpen-"))
-        base = context.getCheckpointDir()
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     return f"{base}/{purpose}-{uuid.uuid4().hex}"
 
 
