@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpen.llm import packing, quality, urls
+from redpen.llm import packing, quality, simhash, urls
 from redpen.llm.common import table
 
 URL_RULES = [
@@ -11,6 +11,11 @@ URL_RULES = [
 ]
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ FROM split s LEFT JOIN best b ON s.page_id = b.page_id AND s.url = b.url
 """
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op6_url_filters": op6_url_filters,
