@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpen.llm import chat, packing, quality, simhash, urls
+from redpen.llm import chat, packing, quality, simhash, toxicity, urls
 from redpen.llm.common import table
 
 URL_RULES = [
@@ -95,12 +95,20 @@ SELECT s.page_id, s.host, s.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 FROM split s LEFT JOIN best b ON s.page_id = b.page_id AND s.url = b.url
 """
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a lexicon learned from the labels outside the held-out rows."""
+    documents = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn_lexicon(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(documents, lexicon)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_url_filters": op6_url_filters,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES = {
     "op5_chat_formatting": OP5_SQL,
