@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpen.llm import chat, packing, quality, simhash, toxicity, urls
+from redpen.llm import chat, packing, quality, simhash, toxicity, urls, warc
 from redpen.llm.common import table
+from redpen.sources.sinks import shared_folder
 
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -102,6 +103,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, lexicon)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_folder(spark, "archives"))
+
+
+OP9_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+), groups AS (
+  SELECT hex, payload_bytes, max(page_id) AS kept FROM hashed GROUP BY hex, payload_bytes
+), coded AS (
+  SELECT hex, payload_bytes, kept, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest
+  FROM groups
+)
+SELECT page_id, CAST(h.payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = kept THEN NULL ELSE kept END AS refers_to, true AS complete
+FROM hashed h JOIN coded c ON h.hex = c.hex AND h.payload_bytes = c.payload_bytes
+"""
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -109,8 +132,10 @@ QUERIES = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_url_filters": op6_url_filters,
     "op8_toxicity": op8_toxicity,
+    "op9_warc": op9_warc,
 }
 ORACLES = {
     "op5_chat_formatting": OP5_SQL,
     "op6_url_filters": OP6_SQL,
+    "op9_warc": OP9_SQL,
 }
