@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpen.llm import chat, packing, quality, simhash, toxicity, urls, warc
+from redpen.llm import chat, packing, pii, quality, simhash, toxicity, urls, warc
 from redpen.llm.common import table
 from redpen.sources.sinks import shared_folder
 
@@ -125,6 +125,11 @@ SELECT page_id, CAST(h.payload_bytes AS BIGINT) AS payload_bytes, payload_digest
 FROM hashed h JOIN coded c ON h.hex = c.hex AND h.payload_bytes = c.payload_bytes
 """
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of all documents."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -133,6 +138,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
+    "op10_pii": op10_pii,
 }
 ORACLES = {
     "op5_chat_formatting": OP5_SQL,
