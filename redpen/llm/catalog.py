@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpen.llm import chat, packing, pii, quality, simhash, toxicity, urls, warc
+from redpen.llm import chat, decontamination, packing, pii, quality, simhash, toxicity, urls, warc
 from redpen.llm.common import table
 from redpen.sources.sinks import shared_folder
 
@@ -96,6 +96,11 @@ SELECT s.page_id, s.host, s.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 FROM split s LEFT JOIN best b ON s.page_id = b.page_id AND s.url = b.url
 """
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark passage, with the items."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a lexicon learned from the labels outside the held-out rows."""
     documents = table(spark, sf_dir, "documents")
@@ -136,6 +141,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_url_filters": op6_url_filters,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,

@@ -39,6 +39,19 @@ def keep_table(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """Two key columns, _k1 and _k2, for joining results back to rows: equal rows share them, a null id has its own."""
+    return [
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_k1"),
+        F.xxhash64(F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit(""))).alias("_k2"),
+    ]
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """The row as one column _row beside its keys, so that no other column can clash with a name used inside."""
+    return documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("_row"), *row_keys())
+
+
 def smallest_by_hash(ids: DataFrame, column: str, bound: int) -> DataFrame:
     """At most ``bound`` ids, the same ones whatever the partitioning. For bounded fitting samples."""
     return (

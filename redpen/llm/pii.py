@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpen.functions.text import hold, let, running_sums
-from redpen.llm.common import SPACE, keep_table
+from redpen.llm.common import SPACE, keep_table, packed, row_keys
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -119,14 +119,6 @@ def _terms(context: Column, shift: Column) -> Column:
     )
 
 
-def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Key of a row: equal for equal rows only; a null id has its own."""
-    return [
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_k1"),
-        F.xxhash64(F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit(""))).alias("_k2"),
-    ]
-
-
 def term_counts(documents: DataFrame) -> DataFrame:
     """Occurrences of every word in all documents, stripped of marks and in lower case: term, n."""
     tokens = documents.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACE)).alias("token"))
@@ -247,8 +239,7 @@ def sanitise(documents: DataFrame, rule: Disclosure | None = None) -> DataFrame:
     left as they are, null texts too. One row per row.
     """
     spans = find_personal_data(documents, rule).select("_k1", "_k2", "spans")
-    packed = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("_row"), *row_keys())
-    joined = packed.join(spans, ["_k1", "_k2"], "left")
+    joined = packed(documents).join(spans, ["_k1", "_k2"], "left")
     changed = F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(
         sanitised_text(F.col("_row.text"), F.col("spans"))
     )
