@@ -104,10 +104,11 @@ def membership(seeds: DataFrame) -> np.ndarray:
     """Bit table of the seed hashes. Its size is fixed, whatever the benchmark: it only spares
     most documents the join, and a full table spares none."""
     place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     words = (
-        seeds.select(F.shiftright(place, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    ).toArrow()
+        seeds.select(F.shiftright(place, 6).alias("word"), bit.alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    )
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return table
