@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redpen.llm.common import UPPER, keep_table
+from redpen.llm.common import UPPER, keep_table, packed, row_keys
 from redpen.llm.components import components
 
 BITS, DISTANCE = 64, 3
@@ -19,6 +19,12 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 # Buckets above this size are compared in square chunks, the others by a join.
 FEW, CHUNK = 64, 2048
 PIVOTS = 8
+ROWS = 4096  # shingles whose bits are counted at a time
+# Wide prints for a similarity threshold: words of 64 bits, three keys of 20 bits in each.
+WORDS, KEY_BITS, KEYS = 16, 20, 3
+# Pairs that agree in a key of a word differ in at most so many of its other bits.
+WORD_DISTANCE = 15
+MIXERS = np.array([xxhash.xxh64_intdigest(f"mixer {i}") | 1 for i in range(WORDS)], np.uint64)
 
 
 def _signed(n: int) -> int:
@@ -37,23 +43,32 @@ def pivots() -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(str(i).encode(), 42)) for i in range(PIVOTS)]
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bit is set if it is set in over half of the shingle hashes; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of all shingles of the lower-cased words; of all words if they are fewer; none without words."""
     ws = (text or "").encode().translate(LOWER_TABLE).split()
     if not ws:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(ws)
     ends = np.cumsum([len(w) + 1 for w in ws])
     starts = np.concatenate([[0], ends[:-1]])
     size = min(shingle, len(ws))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(ws) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], 42) for a, b in spans], "<u8")
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        octets = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([digest(joined[a:b], 42) for a, b in spans], "<u8")
+
+
+def majority(words: np.ndarray) -> bytes:
+    """Bits set in over half of the rows; rows are one or more 64-bit words."""
+    ones = np.zeros(BITS * words.shape[1], np.int64)
+    for at in range(0, len(words), ROWS):
+        octets = np.ascontiguousarray(words[at : at + ROWS]).view(np.uint8).reshape(-1, 8 * words.shape[1])
+        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(words), bitorder="little").tobytes()
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """64 bits of a text; 0 without words."""
+    return int.from_bytes(majority(shingle_hashes(text, shingle)[:, None]), "little")
 
 
 def fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
@@ -94,19 +109,37 @@ def spanning_links(fps: np.ndarray, tables: np.ndarray) -> list[tuple[int, int]]
     others are compared bit by bit.
     """
     columns = tables.view(np.uint8).reshape(-1, 8).T.astype(np.int16)
-    bits, group, links = fps.view(np.uint64), np.arange(len(fps)), []
-    for i in range(len(fps) - 1):
+    pairs = _spanning_pairs(fps.view(np.uint64)[:, None], columns, DISTANCE)
+    return [(int(fps[i]), int(fps[j])) for i, j in pairs]
+
+
+def _spanning_pairs(bits: np.ndarray, columns: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Row numbers of links within the distance that join all rows such links join.
+
+    ``columns`` are the rows' distances to the pivots: two rows within the distance differ
+    by no more than it in any of them.
+    """
+    group, links = np.arange(len(bits)), []
+    for i in range(len(bits) - 1):
         gap = np.abs(columns[:, i + 1 :] - columns[:, i : i + 1]).max(0)
-        rest = np.flatnonzero(gap <= DISTANCE) + i + 1
-        rest = rest[np.bitwise_count(bits[rest] ^ bits[i]) <= DISTANCE]
+        rest = np.flatnonzero(gap <= distance) + i + 1
+        rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= distance]
         names, first = np.unique(group[rest], return_index=True)
         other = names != group[i]
-        links += [(int(fps[i]), int(fps[j])) for j in rest[first[other]]]
+        links += [(i, int(j)) for j in rest[first[other]]]
         if other.any():
             group[np.isin(group, names[other])] = group[i]
     return links
 
 
+def _squares(members: DataFrame, node: str) -> DataFrame:
+    """Every member of a bucket of n once for each pair i, j of chunks that its own chunk is in."""
+    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
+    own = F.pmod(F.xxhash64(node), chunks).cast("int")
+    met = members.withColumn("_own", own).withColumn("_met", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return met.withColumns({"i": F.least("_own", "_met"), "j": F.greatest("_own", "_met")}).drop("_own", "_met")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges a, b that join all fingerprints of the column fp within the distance.
 
@@ -129,13 +162,7 @@ def links(distinct: DataFrame) -> DataFrame:
         (F.col("fp") < F.col("fp2")) & _near(F.col("fp"), F.col("fp2"), F.col("table"), F.col("table2"))
     ).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
-    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    squares = (
-        shared.where(F.col("n") > FEW).withColumn("chunks", chunks).withColumn("own", own)
-        .withColumn("met", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("band", "key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "fp", "table")
-    )
+    squares = _squares(shared.where(F.col("n") > FEW), "fp").select("band", "key", "i", "j", "fp", "table")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         found = spanning_links(group.fp.to_numpy(np.int64), np.ascontiguousarray(group.table.to_numpy(np.int64)))
@@ -165,3 +192,107 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(names, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def wide_print(text: str | None, shingle: int) -> bytes:
+    """1,024 bits of a text: every shingle hash is mixed into sixteen words."""
+    hashes = shingle_hashes(text, shingle)
+    mixed = (hashes[:, None] ^ (hashes[:, None] >> np.uint64(31))) * MIXERS
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= MIXERS[::-1]
+    return majority(mixed ^ (mixed >> np.uint64(29)))
+
+
+def wide_prints(documents: DataFrame, shingle: int) -> DataFrame:
+    """Row keys, doc_id, print and node, the print's digest."""
+
+    def run(batches):
+        for batch in batches:
+            prints = [wide_print(t, shingle) for t in batch.column(3).to_pylist()]
+            nodes = [xxhash.xxh3_128_digest(p) for p in prints]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in range(3)], pa.array(nodes, pa.binary()), pa.array(prints, pa.binary())],
+                names=["_k1", "_k2", "doc_id", "node", "print"],
+            )
+
+    rows = documents.select(*row_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, node binary, print binary")
+
+
+def expected_distance(similarity: float) -> int:
+    """Differing bits of a wide print at a Jaccard similarity of the shingles."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(round(BITS * WORDS * np.arccos(cosine) / np.pi))
+
+
+def _word_keys(batches):
+    """band, key, node and the word that the key is cut from."""
+    low = np.uint64((1 << KEY_BITS) - 1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
+        for word in range(WORDS):
+            for part in range(KEYS):
+                keys = (words[:, word] >> np.uint64(part * KEY_BITS)) & low
+                band = pa.array(np.full(len(words), word * KEYS + part, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [band, pa.array(keys.astype(np.int64)), batch.column(0), pa.array(words[:, word].view(np.int64))],
+                    names=["band", "key", "node", "word"],
+                )
+
+
+def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """Edges a, b between nodes whose prints differ by no more than the similarity allows.
+
+    ``prints`` has node and print. Nodes meet under 48 keys of 20 bits. Pairs of small
+    buckets are checked on the word at hand, and then, once each, on the whole print. Large
+    buckets are compared in squares of chunks with pivots taken from the chunk itself.
+    """
+    distance = expected_distance(similarity)
+    members = prints.select("node", "print").mapInArrow(_word_keys, "band int, key long, node binary, word long")
+    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keep_table(members.join(sizes, ["band", "key"]), "buckets")
+
+    few = shared.where(F.col("n") <= FEW)
+    other = few.select("band", "key", F.col("node").alias("node2"), F.col("word").alias("word2"))
+    close = F.bit_count(F.col("word").bitwiseXOR(F.col("word2"))) <= WORD_DISTANCE
+    pairs = few.join(other, ["band", "key"]).where((F.col("node") < F.col("node2")) & close).select("node", "node2").distinct()
+    both = pairs.join(prints, "node").join(prints.select(F.col("node").alias("node2"), F.col("print").alias("print2")), "node2")
+
+    def verify(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, WORDS) for i in (2, 3))
+            near = np.bitwise_count(a ^ b).sum(1) <= distance
+            yield batch.select([0, 1]).filter(pa.array(near)).rename_columns(["a", "b"])
+
+    checked = both.select("node", "node2", "print", "print2").mapInArrow(verify, "a binary, b binary")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.frombuffer(b"".join(group.print), "<u8").reshape(-1, WORDS)
+        chosen = bits[np.linspace(0, len(bits) - 1, PIVOTS).astype(int)]
+        columns = np.stack([np.bitwise_count(bits ^ p).sum(1) for p in chosen]).astype(np.int16)
+        nodes = group.node.to_numpy()
+        found = [(nodes[i], nodes[j]) for i, j in _spanning_pairs(bits, columns, distance)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="object")
+
+    many = _squares(shared.where(F.col("n") > FEW), "node").join(prints, "node")
+    crowded = many.groupBy("band", "key", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return checked.union(crowded)
+
+
+def drop_near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``documents`` with one document left of every class of near duplicates, the one of the smallest doc_id.
+
+    Documents are linked if their word shingles are similar by their wide fingerprints.
+    All columns stay, whatever their names. Documents without words are one class. Of
+    repeated rows one stays. A null doc_id stays only where a class has no other.
+    """
+    rows = keep_table(wide_prints(documents, shingle), "prints")
+    prints = rows.groupBy("node").agg(F.first("print").alias("print"))
+    linked = components(similar_links(keep_table(prints, "nodes"), similarity))
+    classed = rows.select("_k1", "_k2", "doc_id", "node").join(linked, "node", "left")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
+    best = classed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("b")).select("b._k1", "b._k2")
+    kept = packed(documents).join(best, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in documents.columns])

@@ -2,10 +2,12 @@
 
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -287,3 +289,17 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "terms",
     )
+
+
+def drop_toxic(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
+    """``documents`` without those that score at the threshold or above. All columns stay."""
+    beta = np.array(lexicon.model)
+
+    @F.pandas_udf("boolean")
+    def mild(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = lexicon.automaton()
+        for batch in texts:
+            x = np.array([features(fold(t), automaton) for t in batch]).reshape(-1, len(beta))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))) < threshold)
+
+    return documents.where(mild(F.col("text").cast("string")))
