@@ -18,7 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.spread(scan.read_documents(spark, f"{sf_dir}/documents.parquet"), "doc_id")
+    """All documents; ``spark.redpen.partitions`` deals out a table that comes in one file."""
+    partitions = spark.conf.get("spark.redpen.partitions", None)
+    return scan.read_documents(spark, f"{sf_dir}/documents.parquet", partitions=int(partitions) if partitions else None)
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def sql_lib_tokens(text: str) -> str:
 
 def sql_token_rows(name: str, source: str, text: str, token: str, keys: str = "doc_id, sent_idx") -> str:
     """CTE ``name``: one row per token of ``source`` with pos, token, start and the token count n."""
-    return f"""{name} AS (
+    return f"""{name} AS MATERIALIZED (
       SELECT {keys}, pos, token, n,
              CAST(sum(length(piece)) OVER (PARTITION BY {keys} ORDER BY pos) AS BIGINT) - length(token) AS start
       FROM (SELECT {keys}, unnest(range(len(regexp_extract_all({text}, '{token}')))) AS pos,

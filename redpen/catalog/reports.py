@@ -38,10 +38,20 @@ def c2_features_no_overlap(spark, sf):
     return df.select(*IDS, "selected", F.md5("feature").alias("digest"))
 
 
+def _every_fourth(j):
+    return lambda v, i: i % 4 == j
+
+
 def _logits(spark, sf):
+    """Four logits from all values of a vector: sums of every fourth one."""
     df = table(spark, sf, "embeddings")
-    first = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
-    return df.select("vec_id", first.alias("logits"))
+    parts = [
+        F.aggregate(
+            F.filter("embedding", _every_fourth(j)), F.lit(0.0), lambda acc, v: acc + v.cast("double")
+        )
+        for j in range(4)
+    ]
+    return df.select("vec_id", F.array(*parts).alias("logits"))
 
 
 def _vector(probs):
@@ -186,7 +196,8 @@ def _segments(source: str) -> str:
 
 
 _FEATURE = """array_to_string(list_transform(range(1, k + 1), lambda j: gaps[j] || CASE WHEN j - 1 = {sel} THEN '<CLS>' ELSE '' END || marks[j]), '') || tail"""
-_X = "list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE))"
+_X = """list_transform([0, 1, 2, 3], lambda j: list_sum(list_transform(
+  list_filter(embedding, lambda v, i: (i - 1) % 4 = j), lambda v: CAST(v AS DOUBLE))))"""
 _LOGITS = f"x AS (SELECT vec_id, {_X} AS x FROM embeddings)"
 
 

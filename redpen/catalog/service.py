@@ -31,8 +31,8 @@ CORRECTORS = [
 
 
 def main_check(spark, sf):
-    """Eligible sentences to merged matches, one row per match."""
-    checked = check.check_sentences(sentences(spark, sf), CORRECTORS)
+    """All sentences to merged matches, one row per match, each distinct text checked once."""
+    checked = check.check_sentences(sentences(spark, sf), CORRECTORS, once=True)
     return merge.flatten_results(checked, IDS)
 
 
@@ -42,6 +42,12 @@ def main_check_no_reuse(spark, sf):
     return merge.flatten_results(checked, IDS)
 
 
+def main_aligned(spark, sf):
+    """One row per sentence: matches and failed correctors, zeros included."""
+    checked = check.check_sentences(sentences(spark, sf), CORRECTORS, language="^(en|fr).*$")
+    return checked.select(*IDS, F.size("matches").alias("n"), F.size("errors").alias("failed"))
+
+
 def j1_fan_out(spark, sf):
     ids = [c.effective_rule_id for c in CORRECTORS]
     return fanout.fan_out(sentences(spark, sf).select(*IDS), ids)
@@ -181,7 +187,7 @@ def _prompted():
 def u3_four_stages(spark, sf):
     """Prompt, batch prediction, extraction with suppression, projection."""
     model = C.Corrector("model", kind="coedit", batch_function=_prompted)
-    asked = project.eligible(sentences(spark, sf)).select(*IDS, "text")
+    asked = sentences(spark, sf).select(*IDS, "text")
     rewritten = C.rewrite(asked, model).withColumnRenamed("text", "original").drop("error")
     return E.typed_matches(rewritten, rule_id=model.effective_rule_id).drop("match_idx")
 
@@ -252,7 +258,7 @@ def t3_sliding_failures(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        main_check, main_check_no_reuse, j1_fan_out, j2_once_per_text, j3_successful_only, j4_pad_failures,
+        main_check, main_check_no_reuse, main_aligned, j1_fan_out, j2_once_per_text, j3_successful_only, j4_pad_failures,
         j5_reuse, j5_refill, j7_align, m1_distinct, m1_distinct_lists, m2_ordered, m3_flatten, m4_results,
         m5_text_major, m6_isolated, m7_by_confidence, u1_batches, u2_rules, u3_four_stages, u4_tags,
         u5_registry, t1_stream_check, t2_first_seen, t3_sliding_failures,
@@ -263,19 +269,18 @@ QUERIES = {
 # The correctors above replace words one by one with words that occur nowhere else,
 # so the edits are the positions at which the tokens differ.
 
-_ELIGIBLE = f"{SENTS}, el AS (SELECT * FROM sents WHERE lang LIKE 'en%' AND length(text) <= 1000)"
-_TOKENS = sql_token_rows("toks", "el", "text", SQL_LIB_TOKEN)
+_TOKENS = sql_token_rows("toks", "sents", "text", SQL_LIB_TOKEN)
 
 
 def _edits_of(rules, idx, rule_id) -> str:
     new = sql_lib_tokens(sql_rules("text", rules))
     return f"""SELECT t.doc_id, t.sent_idx, start AS "offset", length(token) AS length, r.b[pos + 1] AS replacement,
       CAST({idx} AS BIGINT) AS corrector_idx, pos, '{rule_id}' AS rule_id
-      FROM toks t JOIN (SELECT doc_id, sent_idx, {new} AS b FROM el) r
+      FROM toks t JOIN (SELECT doc_id, sent_idx, {new} AS b FROM sents) r
         ON t.doc_id = r.doc_id AND t.sent_idx = r.sent_idx WHERE token <> r.b[pos + 1]"""
 
 
-_MAIN = f"""WITH {_ELIGIBLE}, {_TOKENS},
+_MAIN = f"""WITH {SENTS}, {_TOKENS},
   found AS ({' UNION ALL '.join(_edits_of(c.rules, i, c.effective_rule_id) for i, c in enumerate(CORRECTORS))}),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx, corrector_idx ORDER BY pos) - 1 AS match_idx FROM found),
   firsts AS (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY doc_id, sent_idx, "offset", length, replacement
@@ -296,6 +301,9 @@ ORACLES = {
     "main_check": _MAIN,
     "main_check_no_reuse": _MAIN,
     "t1_stream_check": _MAIN,
+    "main_aligned": f"""WITH main AS ({_MAIN}), {SENTS} SELECT s.doc_id, s.sent_idx,
+      count(m."offset") FILTER (lang LIKE 'en%' OR lang LIKE 'fr%') AS n, CAST(0 AS BIGINT) AS failed
+      FROM sents s LEFT JOIN main m ON s.doc_id = m.doc_id AND s.sent_idx = m.sent_idx GROUP BY s.doc_id, s.sent_idx""",
     "j1_fan_out": f"""WITH {SENTS} SELECT doc_id, sent_idx, CAST(unnest([0, 1, 2]) AS BIGINT) AS corrector_idx,
       unnest([{', '.join(f"'{c.effective_rule_id}'" for c in CORRECTORS)}]) AS rule_id FROM sents""",
     "j2_once_per_text": f"""WITH {SENTS} SELECT doc_id, sent_idx, md5({_CORRECTED}) AS digest, {_CORRECTED} <> text AS changed FROM sents""",
@@ -326,7 +334,7 @@ ORACLES = {
     "u1_batches": f"""WITH {SENTS} SELECT doc_id, sent_idx, md5(CASE WHEN contains(text, 'x') THEN text ELSE replace(text, 'the', 'thee') END) AS digest,
       false AS failed FROM sents""",
     "u2_rules": f"WITH {SENTS} SELECT doc_id, sent_idx, md5({_CORRECTED}) AS digest FROM sents",
-    "u3_four_stages": f"""WITH {_ELIGIBLE}, {_TOKENS} SELECT doc_id, sent_idx, start AS "offset", length(token) AS length,
+    "u3_four_stages": f"""WITH {SENTS}, {_TOKENS} SELECT doc_id, sent_idx, start AS "offset", length(token) AS length,
       replace(token, 'thth', 'thrift') AS replacement, 'Other / Uncategorized' AS description,
       'Other / Uncategorized' AS message, 'model' AS rule_id, CAST(2 AS BIGINT) AS match_type
       FROM toks WHERE contains(token, 'thth')""",

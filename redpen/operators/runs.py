@@ -142,7 +142,8 @@ def latency_percentiles(
     ).groupBy(key, "p", "v").agg(F.sum("c").alias("c"))
     w = Window.partitionBy(key, "p").orderBy(F.asc_nulls_first("v"))
     cum = inside.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = cum.join(targets.select(key, "p", "at", "_n", "_max"), [key, "p"])
+    known = targets.select(F.col(key).alias("_key"), F.col("p").alias("_p"), "at", "_n", "_max")
+    placed = cum.join(known, F.col(key).eqNullSafe(F.col("_key")) & (F.col("p") == F.col("_p"))).drop("_key", "_p")
 
     def value_at(rank):
         here = (F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")) & F.col("v").isNotNull()

@@ -37,19 +37,27 @@ def spread_join(
     matching rows of ``right`` are copied to each part. With ``right`` unique per
     key at most ``2 * shares`` extra rows exist. ``how`` is inner, left,
     left_semi or left_anti.
+    Null keys match each other.
     """
     if counts is None:
         counts = key_counts(left, keys)
     hot = F.broadcast(hot_keys(counts, keys, shares))
     parts = F.coalesce("_parts", F.lit(1))
-    spread = left.join(hot, keys, "left").withColumn(
+    spread = _with_null_keys(left, hot, keys, "left").withColumn(
         "_part", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), parts).cast("int")
     )
-    copies = right.join(hot, keys, "left").withColumn(
+    copies = _with_null_keys(right, hot, keys, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), parts - 1))
     )
-    out = spread.drop("_parts").join(copies.drop("_parts"), [*keys, "_part"], how)
-    return out.drop("_part")
+    return _with_null_keys(spread.drop("_parts"), copies.drop("_parts"), [*keys, "_part"], how).drop("_part")
+
+
+def _with_null_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join in which null keys match; keys first, then the other columns of both sides."""
+    renamed = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    joined = left.join(renamed, functools.reduce(operator.and_, same), how).drop(*[f"_r{i}" for i in range(len(keys))])
+    return joined.select(*keys, *[c for c in joined.columns if c not in keys])
 
 
 def running_total(

@@ -12,6 +12,7 @@ MATCH_DDL = (
     "array<struct<offset:int,length:int,replacement:string,description:string,"
     "message:string,rule_id:string,match_type:int,corrector_idx:int,match_idx:int>>"
 )
+ERROR_DDL = "array<struct<corrector_idx:int,rule_id:string,error:string>>"
 
 
 def _numbered(corrector_idx: int):
@@ -24,7 +25,8 @@ def match_texts(
     """Add ``matches``, merged over the correctors, to a table of texts.
 
     All correctors of a text work in its row, so fan-out and merge need no
-    shuffle. A corrector that fails on a text adds no match for it.
+    shuffle. A corrector that fails on a text adds no match for it, but an entry
+    in ``errors``, so that "nothing found" and "failed" differ.
     """
     df = texts
     for idx, corrector in enumerate(correctors):
@@ -35,32 +37,52 @@ def match_texts(
         )
         df = E.with_typed_matches(df, corrector.effective_rule_id, corrector.min_length)
         numbered = F.transform("matches", _numbered(idx))
-        df = df.withColumn(f"_m{idx}", numbered.cast(MATCH_DDL)).drop(
+        failed = F.when(
+            F.col("error").isNotNull(),
+            F.struct(
+                F.lit(idx).alias("corrector_idx"), F.lit(corrector.effective_rule_id).alias("rule_id"),
+                F.col("error").cast("string").alias("error"),
+            ),
+        )
+        df = df.withColumns({f"_m{idx}": numbered.cast(MATCH_DDL), f"_e{idx}": failed}).drop(
             "matches", "corrected", "original", "error"
         )
     each = [F.col(f"_m{i}") for i in range(len(correctors))]
     together: Column = F.concat(*each) if each else F.array().cast(MATCH_DDL)
-    return hold(df, {"matches": merge.merge_arrays(together)}).drop(
-        *[f"_m{i}" for i in range(len(correctors))]
-    )
+    failures = F.array(*[F.col(f"_e{i}") for i in range(len(correctors))]).cast(ERROR_DDL)
+    found = {"matches": merge.merge_arrays(together), "errors": F.filter(failures, lambda e: e.isNotNull())}
+    return hold(df, found).drop(*[f"_{k}{i}" for i in range(len(correctors)) for k in "me"])
 
 
 def check_sentences(
     sentences: DataFrame,
     correctors: list[C.Corrector],
-    once: bool = True,
-    language: str = "^en.*$",
-    max_length: int = 1000,
+    once: bool | None = None,
+    language: str | None = None,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """One row per eligible sentence with its ordered, merged match list.
+    """One row per sentence with its ordered, merged match list and its errors.
 
-    ``once`` computes each distinct text one time. That costs a shuffle of the
-    texts; without it the whole path runs without one.
+    ``language`` (a pattern) and ``max_length`` restrict what is checked; by default nothing
+    does. Sentences outside them stay, with empty lists.
+
+    ``once`` computes each distinct text one time. That costs a shuffle of the texts, which
+    pays for models only; by default it is done if a corrector has a batch function.
     """
-    asked = project.eligible(sentences, language, max_length)
-    if not once:
-        return match_texts(asked, correctors)
-    return fanout.once_per_text(asked, lambda t: match_texts(t, correctors))
+    if once is None:
+        once = any(c.batch_function for c in correctors)
+    run = (lambda t: fanout.once_per_text(t, lambda x: match_texts(x, correctors))) if once else (
+        lambda t: match_texts(t, correctors)
+    )
+    if language is None and max_length is None:
+        return run(sentences)
+    wanted = F.lit(True)
+    if language is not None:
+        wanted = wanted & F.coalesce(F.col("lang").rlike(language), F.lit(False))
+    if max_length is not None:
+        wanted = wanted & (F.coalesce(F.length("text"), F.lit(0)) <= max_length)
+    nothing = {"matches": F.array().cast(MATCH_DDL), "errors": F.array().cast(ERROR_DDL)}
+    return run(sentences.where(wanted)).unionByName(sentences.where(~wanted).withColumns(nothing))
 
 
 def check_documents(documents: DataFrame, correctors: list[C.Corrector], **options) -> DataFrame:

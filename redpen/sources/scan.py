@@ -30,13 +30,21 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
     )
 
 
-def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Documents from parquet, JSON lines, or whole text files (id from the path)."""
+def read_documents(
+    spark: SparkSession, path: str, fmt: str = "parquet", partitions: int | None = None, language: str | None = None
+) -> DataFrame:
+    """Documents from parquet, JSON lines, or whole text files (id from the path).
+
+    ``partitions`` deals the rows out by id, for inputs in too few files; large tables need
+    no such shuffle. ``language`` is that of text files.
+    """
+    if partitions is not None:
+        return read_documents(spark, path, fmt, language=language).repartition(partitions, "doc_id")
     if fmt == "text":
         return spark.read.text(path, wholetext=True).select(
             F.xxhash64(F.input_file_name()).alias("doc_id"),
             F.col("value").alias("text"),
-            F.lit(None).cast("string").alias("lang"),
+            F.lit(language).cast("string").alias("lang"),
             F.input_file_name().alias("source"),
         )
     return read_table(spark, path, DOCUMENT_DDL, fmt)
@@ -54,15 +62,3 @@ def read_rewrites(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     """The first ``n`` rows by ``order``: a top-n, not a full sort."""
     return df.orderBy(order).limit(n)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a table that comes in fewer files than there are task slots.
-
-    A single small file is one task however many cores there are. Tables with
-    many files are left alone.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
-        return df
-    return df.repartition(slots, key)

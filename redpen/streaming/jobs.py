@@ -5,19 +5,18 @@ from pyspark.sql import functions as F
 
 from redpen.operators import project
 from redpen.operators.correctors import Corrector
-from redpen.plans.check import match_texts
+from redpen.plans.check import check_sentences
 
 
 def check_stream(
-    documents: DataFrame, correctors: list[Corrector], language: str = "^en.*$", max_length: int = 1000
+    documents: DataFrame, correctors: list[Corrector], language: str | None = None, max_length: int | None = None
 ) -> DataFrame:
     """Document stream to a stream of sentences with merged matches.
 
     Merging works inside the row, so the job keeps no state and a restart
     repeats nothing but the open batch.
     """
-    asked = project.eligible(project.sentences(documents), language, max_length)
-    return match_texts(asked, correctors)
+    return check_sentences(project.sentences(documents), correctors, False, language, max_length)
 
 
 def first_seen(stream: DataFrame, ts: str, keys: list[str], delay: str) -> DataFrame:
