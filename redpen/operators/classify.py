@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from redpen.functions import patterns as P
 from redpen.functions import scores as S
-from redpen.functions.text import running_sums, span_text
+from redpen.functions.text import let, running_sums, span_text
 
 
 def without_overlaps(matches: Column) -> Column:
@@ -14,22 +14,24 @@ def without_overlaps(matches: Column) -> Column:
         matches,
         lambda m, i: F.struct(m.offset.alias("o"), (-m.length).alias("l"), i.alias("i"), m.alias("m")),
     )
-    ordered = F.array_sort(keyed)
-    # Positions kept so far; the end of the last kept match decides.
-    kept = F.aggregate(
-        F.sequence(F.lit(1), F.size(ordered)),
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at")),
-        lambda acc, k: F.when(
-            F.get(ordered, k - 1).o >= acc.end,
-            F.struct(
-                (F.get(ordered, k - 1).m.offset + F.get(ordered, k - 1).m.length).alias("end"),
-                F.concat(acc["at"], F.array(k - 1)).alias("at"),
-            ),
-        ).otherwise(acc),
-    )
-    return F.when(F.size(matches) == 0, matches).otherwise(
-        F.transform(kept["at"], lambda k: F.get(ordered, k).m)
-    )
+
+    def kept(ordered: Column) -> Column:
+        """Positions kept; the end of the last kept match decides on the next."""
+        found = F.aggregate(
+            F.sequence(F.lit(1), F.size(ordered)),
+            F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at")),
+            lambda acc, k: F.when(
+                F.get(ordered, k - 1).o >= acc.end,
+                F.struct(
+                    (F.get(ordered, k - 1).m.offset + F.get(ordered, k - 1).m.length).alias("end"),
+                    F.concat(acc["at"], F.array(k - 1)).alias("at"),
+                ),
+            ).otherwise(acc),
+        )
+        return let(found["at"], lambda at: F.transform(at, lambda k: F.get(ordered, k).m))
+
+    # Sorted once: the array is bound before the fold reads it.
+    return F.when(F.size(matches) == 0, matches).otherwise(let(F.array_sort(keyed), kept))
 
 
 def _segments(sentence: Column, matches: Column) -> Column:

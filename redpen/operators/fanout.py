@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redpen.operators.skew import key_counts, spread_join
+from redpen.sources.sinks import shared_folder
 
 
 def fan_out(sentences: DataFrame, rule_ids: list[str]) -> DataFrame:
@@ -51,13 +52,19 @@ def reuse(
 ) -> tuple[DataFrame, DataFrame]:
     """Read hits from ``cache``, compute misses, and return (results, cache to keep).
 
+    Misses are computed here, once: they are written to the shared folder, and both results
+    read them from there.
+
     ``cache`` has one row per text. Hits and misses are decided on distinct texts,
     so copies of a text never meet in one task before the final, spread join.
     """
     counts = key_counts(requests, [text])
     asked = counts.select(text)
     hits = cache.join(asked, text, "left_semi").withColumn("hit", F.lit(True))
-    computed = compute(asked.join(cache, text, "left_anti"))
+    misses = compute(asked.join(cache, text, "left_anti"))
+    path = shared_folder(requests.sparkSession, "misses")
+    misses.write.parquet(path)
+    computed = requests.sparkSession.read.schema(misses.schema).parquet(path)
     known = hits.unionByName(computed.withColumn("hit", F.lit(False)))
     refilled = cache.unionByName(computed)
     return spread_join(requests, known, [text], "left", counts), refilled

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redpen.functions.text import let
+
 LANGUAGE, LANGUAGE_CODE = "English", "en-US"
 
 
@@ -14,11 +16,17 @@ def merge_arrays(matches: Column) -> Column:
     """First of each (offset, length, replacement), sorted by offset; ties keep their order.
 
     ``matches`` is one sentence's array in corrector order, then match order. It
-    is no longer than the sentence has tokens times correctors.
+    is no longer than the sentence has tokens times correctors. Equal keys are
+    neighbours once sorted, so the work is that of two sorts.
     """
-    keys = F.transform(matches, merge_key)
-    first = F.filter(matches, lambda m, i: F.array_position(keys, merge_key(m)) == i + 1)
-    ranked = F.transform(first, lambda m, i: F.struct(m.offset.alias("o"), i.alias("i"), m.alias("m")))
+    keyed = F.transform(
+        matches, lambda m, i: F.struct(merge_key(m).alias("key"), i.alias("i"), m.alias("m"))
+    )
+    first = let(
+        F.array_sort(keyed),
+        lambda s: F.filter(s, lambda x, k: (k == 0) | ~x.key.eqNullSafe(F.get(s, k - 1).key)),
+    )
+    ranked = F.transform(first, lambda x: F.struct(x.m.offset.alias("o"), x.i.alias("i"), x.m.alias("m")))
     return F.transform(F.array_sort(ranked), lambda r: r.m)
 
 
