@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from redpen.llm.common import slices
+
 # Fixed values of the template. The reserved ids follow the vocabulary.
 RESERVED = {"<|im_start|>": 50257, "<|im_end|>": 50258}
 START, END = RESERVED.values()
@@ -18,6 +20,8 @@ NEWLINE = "\n"
 UNESCAPED = re.compile(r"<(\\*)\|")
 ESCAPED = re.compile(r"<\\(\\*)\|")
 
+AT_A_TIME = 100  # rows that are Python objects at a time
+
 _LOADED: dict[str, Tokenizer] = {}
 
 
@@ -42,7 +46,7 @@ def encode_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         encoder = loaded(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, AT_A_TIME):
             ids = [
                 [e.ids for e in encoder.encode_batch_fast([escape(t or "") for t in batch.column(c).to_pylist()],
                                                           add_special_tokens=False)]
@@ -77,7 +81,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str | None = None)
     newline = encoder.encode(NEWLINE, add_special_tokens=False).ids
 
     def assemble(batches):
-        for batch in batches:
+        for batch in slices(batches, AT_A_TIME):
             all_ids, all_masks = [], []
             for turns in batch.column(1).to_pylist():
                 segments, steps, at = [], [], 0
@@ -127,7 +131,7 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches):
         encoder = loaded(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, AT_A_TIME):
             rows = []
             for ids, mask in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = decode(ids, encoder)

@@ -60,13 +60,8 @@ def smallest_by_hash(ids: DataFrame, column: str, bound: int) -> DataFrame:
     )
 
 
-def in_batches(rows: Iterator, size: int) -> Iterator[list]:
-    """Lists of at most ``size`` items."""
-    batch = []
-    for row in rows:
-        batch.append(row)
-        if len(batch) == size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+def slices(batches: Iterator, rows: int) -> Iterator:
+    """Arrow batches of at most ``rows`` rows, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
