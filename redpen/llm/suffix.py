@@ -24,7 +24,7 @@ WINDOWS = LENGTH - ANCHOR + 1  # anchors that a string of LENGTH bytes contains
 PAD = 0xFF  # never a byte of UTF-8
 BLOCK = 1 << 16  # windows searched at a time
 BATCH_ROWS = 20_000  # contexts compared at a time
-MOST_ROWS = 50_000  # of one anchor; beyond it windows are compared by digests
+MOST_ROWS = 50_000  # distinct contexts of one anchor; beyond it windows are compared by digests
 BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,33 +96,61 @@ def _keyed(documents: DataFrame) -> DataFrame:
     )
 
 
-CONTEXTS = "hash long, k binary, before binary, after binary, places array<long>, crowded boolean"
+def _around(data: bytes, at: int) -> tuple[bytes, bytes]:
+    return data[max(0, at + ANCHOR - LENGTH) : at], data[at : at + LENGTH]
 
 
-def contexts(marked: DataFrame) -> DataFrame:
-    """The bytes around every repeated anchor. Equal contexts of one text are one row with all places.
+def owners(affected: DataFrame) -> DataFrame:
+    """hash, context, k, places, n_before, n_after: where the bytes around repeated anchors occur.
 
-    ``marked`` has k, data and anchors (at, hash, n).
+    ``context`` is a digest of those bytes. Equal contexts of one text are one row.
     """
+    kinds = {"hash": pa.int64(), "context": pa.binary(), "k": pa.binary(), "places": pa.list_(pa.int64()),
+             "n_before": pa.int32(), "n_after": pa.int32()}
 
     def run(batches):
-        reach = LENGTH - ANCHOR
         for batch in batches:
             for k, data, found in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 data, rows = data.as_py(), {}
                 for a in found.as_py():
-                    at = a["at"]
-                    key = (a["hash"], data[max(0, at - reach) : at], data[at : at + LENGTH], a["n"] > MOST_ROWS)
-                    rows.setdefault(key, []).append(at)
-                hashes, before, after, crowded = zip(*rows, strict=True)
-                key = k.as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes, pa.int64()), pa.array([key] * len(rows), pa.binary()), pa.array(before, pa.binary()),
-                     pa.array(after, pa.binary()), pa.array(rows.values(), pa.list_(pa.int64())), pa.array(crowded, pa.bool_())],
-                    names=["hash", "k", "before", "after", "places", "crowded"],
+                    before, after = _around(data, a["at"])
+                    context = xxhash.xxh3_128_digest(b"%d:%b%b" % (len(before), before, after))
+                    rows.setdefault((a["hash"], context, len(before), len(after)), []).append(a["at"])
+                yield _batch([(h, c, k.as_py(), p, x, y) for (h, c, x, y), p in rows.items()], kinds)
+
+    return affected.select("k", "data", "anchors").mapInArrow(
+        run, "hash long, context binary, k binary, places array<long>, n_before int, n_after int"
+    )
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)
+    )
+
+
+CONTEXTS = "hash long, context binary, before binary, after binary, many boolean, crowded boolean"
+
+
+def contexts(chosen: DataFrame) -> DataFrame:
+    """The bytes of every distinct context, from one text that has it.
+
+    ``chosen`` has data and wanted (at, hash, context, many, crowded).
+    """
+    kinds = {"hash": pa.int64(), "context": pa.binary(), "before": pa.binary(), "after": pa.binary(),
+             "many": pa.bool_(), "crowded": pa.bool_()}
+
+    def run(batches):
+        for batch in batches:
+            for data, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                data = data.as_py()
+                yield _batch(
+                    [(w["hash"], w["context"], *_around(data, w["at"]), w["many"], w["crowded"]) for w in wanted.as_py()],
+                    kinds,
                 )
 
-    return marked.select("k", "data", "anchors").mapInArrow(run, CONTEXTS)
+    return chosen.select("data", "wanted").mapInArrow(run, CONTEXTS)
 
 
 def _matrix(parts: list[bytes], width: int, backwards: bool) -> np.ndarray:
@@ -193,51 +221,37 @@ def repeated_windows(group: np.ndarray, before: list[bytes], after: list[bytes])
     return marks
 
 
-def covered(marks: np.ndarray, places: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, start and end of the byte ranges that the marked windows cover."""
+def shift_runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, first and last shift of the runs of marked windows."""
     edges = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     rows, low = np.nonzero(edges == 1)
-    _, high = np.nonzero(edges == -1)
-    many = np.array([len(places[r]) for r in rows], np.int64)
-    at = np.array([p for r in rows for p in places[r]], np.int64)
-    spread = np.repeat(np.arange(len(rows)), many)
-    return rows[spread], at - (high[spread] - 1), at - low[spread] + LENGTH
+    return rows, low, np.nonzero(edges == -1)[1] - 1
 
 
-def _all_windows(marks: np.ndarray, row: int, before: bytes, after: bytes) -> None:
-    """Mark every window of a row that lies inside its text: its context has several places."""
-    first = max(0, LENGTH - len(after))
-    marks[row, first : len(before) + 1] = True
+RUNS = "hash long, context binary, low int, high int"
 
 
 def compare(rows: DataFrame) -> DataFrame:
-    """Covered ranges k, start, stop from contexts, all rows of an anchor in one task."""
+    """Runs of repeated windows of the distinct contexts, all contexts of an anchor in one task.
+
+    Contexts that occur at many places are partners only: all their windows repeat anyway.
+    """
 
     def settle(columns):
-        hashes, keys, before, after, places = columns
-        first = [p[0] for p in places]
-        _, unique = np.unique(
-            np.array(list(zip(hashes, keys, first, strict=True)), dtype=[("h", "i8"), ("k", "S16"), ("p", "i8")]),
-            return_index=True,
-        )  # a repeated row of the table gives its contexts twice
-        unique = unique.tolist()
-        before, after = [before[i] for i in unique], [after[i] for i in unique]
-        places, keys = [places[i] for i in unique], [keys[i] for i in unique]
-        group = np.unique(np.array([hashes[i] for i in unique]), return_inverse=True)[1]
+        hashes, names, before, after, many = columns
+        group = np.unique(np.array(hashes), return_inverse=True)[1]
         marks = repeated_windows(group, before, after)
-        for i, p in enumerate(places):
-            if len(p) > 1:
-                _all_windows(marks, i, before[i], after[i])
-        row, start, stop = covered(marks, places)
+        marks[np.array(many)] = False
+        row, low, high = shift_runs(marks)
         return pa.RecordBatch.from_arrays(
-            [pa.array([keys[r] for r in row], pa.binary()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())],
-            names=["k", "start", "stop"],
+            [pa.array([hashes[r] for r in row], pa.int64()), pa.array([names[r] for r in row], pa.binary()),
+             pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["hash", "context", "low", "high"]
         )
 
     def run(batches):
         held = [[] for _ in range(5)]
         for batch in batches:
-            for mine, column in zip(held, batch.columns, strict=False):
+            for mine, column in zip(held, batch.columns, strict=True):
                 mine.extend(column.to_pylist())
             if len(held[0]) >= BATCH_ROWS and held[0][0] != held[0][-1]:
                 cut = len(held[0]) - 1  # the last anchor may go on in the next batch
@@ -248,33 +262,58 @@ def compare(rows: DataFrame) -> DataFrame:
         if held[0]:
             yield settle(held)
 
-    return rows.mapInArrow(run, "k binary, start long, stop long")
+    return rows.select("hash", "context", "before", "after", "many").mapInArrow(run, RUNS)
 
 
 def compare_crowded(rows: DataFrame) -> DataFrame:
-    """The same for anchors with more rows than a task should hold: windows meet by a 128-bit digest."""
+    """The same for anchors with more contexts than a task should hold: windows meet by a 128-bit digest."""
 
     def run(batches):
         for batch in batches:
-            for k, before, after, places in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
-                out = []
-                for shift in range(max(0, LENGTH - len(after)), len(before) + 1):
-                    window = (before[len(before) - shift :] + after)[:LENGTH]
-                    out.append(xxhash.xxh3_128_digest(window))
+            for h, name, before, after, many in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 shifts = range(max(0, LENGTH - len(after)), len(before) + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out, pa.binary()), pa.array([k] * len(out), pa.binary()),
-                     pa.array([places] * len(out), pa.list_(pa.int64())), pa.array(shifts, pa.int64())],
-                    names=["digest", "k", "places", "shift"],
+                both = before + after
+                own = [xxhash.xxh3_128_digest(both[len(before) - s :][:LENGTH]) for s in shifts]
+                yield _batch(
+                    [(d, h, name, s, many) for d, s in zip(own, shifts, strict=True)],
+                    {"digest": pa.binary(), "hash": pa.int64(), "context": pa.binary(), "shift": pa.int32(), "many": pa.bool_()},
                 )
 
-    windows = rows.mapInArrow(run, "digest binary, k binary, places array<long>, shift long")
-    place = F.struct("k", F.get("places", 0) - F.col("shift"))
-    repeated = windows.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max(F.size("places")).alias("n"))
-    repeated = repeated.where((F.col("a") != F.col("b")) | (F.col("n") > 1)).select("digest")
-    start = F.explode(F.transform("places", lambda p: p - F.col("shift")))
-    return windows.join(repeated, "digest", "left_semi").select("k", start.alias("start")).select(
-        "k", "start", (F.col("start") + LENGTH).alias("stop")
+    windows = rows.select("hash", "context", "before", "after", "many").mapInArrow(
+        run, "digest binary, hash long, context binary, shift int, many boolean"
+    )
+    # Equal strings hold their anchor at the same shift; a string seen from two anchors is not repeated by that.
+    key = ["hash", "shift", "digest"]
+    repeated = windows.groupBy(*key).agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a != b").select(*key)
+    return windows.where("NOT many").join(repeated, key, "left_semi").select(
+        "hash", "context", F.col("shift").alias("low"), F.col("shift").alias("high")
+    )
+
+
+def repeated_ranges(affected: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Byte ranges k, start, stop that repeated strings cover, from k, data and anchors (at, hash).
+
+    A context that occurs at several places is repeated as it is. Of every distinct context one
+    copy is compared with the others of its anchor.
+    """
+    known = keep_table(owners(affected), "owners")
+    shared = known.groupBy("hash", "context", "n_before", "n_after").agg(
+        F.min(F.struct("k", F.get("places", 0).alias("at"))).alias("rep"), (F.sum(F.size("places")) > 1).alias("many")
+    )
+    sizes = shared.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = shared.join(sizes, "hash").select(
+        F.col("rep.k").alias("k"),
+        F.struct(F.col("rep.at").alias("at"), "hash", "context", "many", (F.col("n") > most_rows).alias("crowded")).alias("w"),
+    ).groupBy("k").agg(F.collect_list("w").alias("wanted"))
+    chosen = contexts(affected.select("k", "data").join(wanted, "k"))
+    together = chosen.where("NOT crowded").repartition("hash").sortWithinPartitions("hash")
+    whole = shared.where("many").select(
+        "hash", "context", F.greatest(F.lit(0), LENGTH - F.col("n_after")).alias("low"), F.col("n_before").alias("high")
+    ).where("low <= high")
+    runs = whole.union(compare(together)).union(compare_crowded(chosen.where("crowded")))
+    at = F.explode("places").alias("at")
+    return known.select("hash", "context", "k", "places").join(runs, ["hash", "context"]).select("k", at, "low", "high").select(
+        "k", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + LENGTH).alias("stop")
     )
 
 
@@ -321,20 +360,15 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         ), "texts",
     )
     each = texts.select("k", "rep", F.inline("anchors"))
-    repeated = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    listed = each.join(repeated, "hash").groupBy("k", "rep").agg(
-        F.collect_list(F.struct("at", "hash", "n")).alias("anchors")
+    repeated = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    listed = each.join(repeated, "hash", "left_semi").groupBy("k", "rep").agg(
+        F.collect_list(F.struct("at", "hash")).alias("anchors")
     )
     whole = _keyed(documents).select("doc_id", "k", "data")
     affected = whole.join(listed, "k").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "data", "anchors")
-    affected = keep_table(affected, "affected")
-    around = keep_table(contexts(affected), "contexts")
-    sorted_rows = (
-        around.where("NOT crowded").drop("crowded").repartition("hash").sortWithinPartitions("hash")
-    )
-    ranges = compare(sorted_rows).union(compare_crowded(around.where("crowded").drop("crowded")))
-    per_text = ranges.groupBy("k").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    cut = cut_texts(affected.select("k", "data").dropDuplicates(["k"]).join(per_text, "k")).select(
+    affected = keep_table(affected.dropDuplicates(["k"]), "affected")
+    per_text = repeated_ranges(affected).groupBy("k").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    cut = cut_texts(affected.select("k", "data").join(per_text, "k")).select(
         "k", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")
     )
     known = scanned.select("doc_id", "k", "n_bytes", "whole").join(texts.select("k", "copies"), "k").join(cut, "k", "left")
