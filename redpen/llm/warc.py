@@ -1,6 +1,7 @@
 """WARC archives: segmented, chunk-framed records, and their reassembly."""
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -103,7 +104,7 @@ def write_archives(
 
     Among rows with equal payloads of at least ``least_bytes``, those with the largest page_id
     are responses and the others revisit it. Archives end at ``records_per_file`` records, so
-    no file exceeds that number of segments.
+    no file exceeds that number of segments. Archives are compressed as a whole.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
@@ -124,7 +125,7 @@ def write_archives(
     # Every line of the text sink is a record, and the blank lines between records end the line.
     records = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     writer = records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file)
-    writer.text(path)
+    writer.option("compression", "gzip").text(path)
 
 
 def parse_records(content: bytes):
@@ -166,7 +167,7 @@ def _told(page_id, block: bytes, total: int | None):
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Captures in the archives of a folder: page_id, payload_bytes, payload_digest, record_type, refers_to, complete.
 
-    Whole responses are decoded where they are read. Segments are grouped by the id of their
+    Files are gzip members. Whole responses are decoded where they are read. Segments are grouped by the id of their
     first record, ordered by number, checked against the total length, and decoded after
     that. Revisits take the size of the response they refer to. ``complete`` is false for a
     capture with missing segments, a wrong total length or broken chunk framing.
@@ -176,7 +177,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for fields, block in parse_records(content.as_py()):
+                for fields, block in parse_records(gzip.decompress(content.as_py())):
                     kind, own = fields["warc-type"], fields["warc-record-id"]
                     number = int(fields.get("warc-segment-number", 0))
                     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
