@@ -48,6 +48,14 @@ def d1_all_edits(spark, sf):
     return df.where(F.col("op").isNotNull())
 
 
+def plain_path(spark, sf):
+    """The plain extractor from pairs to matches, on the pairs whose one hunk is certain."""
+    pairs = _pairs(spark, sf)
+    routed = with_hunk(E.with_plain_tokens(pairs), "a_tok", "b_tok").where(F.col("_route") == "hunk")
+    found = E.plain_matches(pairs).select(*IDS, "kind", "offset", "length", "replacement", "match_type")
+    return found.join(routed.select(*IDS, "kind"), [*IDS, "kind"], "left_semi")
+
+
 def _given(spark, sf, original, edits):
     """Pairs (damaged, clean) with known opcodes."""
     df = clean(spark, sf)
@@ -106,7 +114,7 @@ def d5_adjacent(spark, sf):
 
 
 def d6_min_length(spark, sf):
-    df = E.typed_matches(damage.edges(clean(spark, sf)).where(F.col("kind") == "colon"), min_length=4)
+    df = E.typed_matches(damage.edges(clean(spark, sf), ["colon"]), min_length=4)
     return df.select(*IDS, "offset", "length", "replacement")
 
 
@@ -167,7 +175,7 @@ def j6_labels(spark, sf):
 def d10_typed(spark, sf):
     """Appended marks through the whole typed path."""
     kinds = ["period", "colon", "spaces", "emoji"]
-    pairs = damage.edges(clean(spark, sf)).where(F.col("kind").isin(kinds))
+    pairs = damage.edges(clean(spark, sf), kinds)
     return E.typed_matches(pairs, rule_id="edge").drop("match_idx")
 
 
@@ -215,7 +223,7 @@ RULES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        d1_native_edits, d1_routes, d1_all_edits, d2_replace, d3_insert, d4_delete, d5_adjacent,
+        d1_native_edits, d1_routes, plain_path, d1_all_edits, d2_replace, d3_insert, d4_delete, d5_adjacent,
         d6_min_length, d7_spans, d8_insertions, d9_codes, d9_spelling, d10_typed, d11_split, j6_labels,
         *[_rule(name) for name in RULES], h_reasons,
     )
@@ -322,6 +330,17 @@ ORACLES = {
     "d1_native_edits": f"""WITH {_HUNK} SELECT doc_id, sent_idx, kind, p AS i1, na - s AS i2, p AS j1, nb - s AS j2
       FROM routed WHERE route = 'hunk'""",
     "d1_routes": f"WITH {_HUNK} SELECT kind, route, count(*) AS n FROM routed GROUP BY ALL",
+    "plain_path": f"""WITH {_HUNK},
+      h AS (SELECT *, p AS i1, na - s AS i2, array_to_string(b[p + 1:nb - s], ' ') AS new, nb - s > p AS adds FROM routed WHERE route = 'hunk' AND na > 0),
+      c AS (SELECT *, CASE WHEN adds AND i2 > i1 THEN 'replace' WHEN adds AND i1 < na THEN 'before' WHEN adds THEN 'after'
+                           WHEN i1 > 0 THEN 'previous' ELSE 'next' END AS way FROM h),
+      f AS (SELECT *, CASE way WHEN 'after' THEN na - 1 WHEN 'previous' THEN i1 - 1 ELSE i1 END AS lo,
+              CASE way WHEN 'replace' THEN i2 WHEN 'before' THEN i1 + 1 WHEN 'after' THEN na WHEN 'previous' THEN i2 ELSE i2 + 1 END AS hi FROM c)
+      SELECT doc_id, sent_idx, kind, CASE WHEN lo = 0 THEN 0 ELSE length(array_to_string(a[1:lo], ' ')) + 1 END AS "offset",
+        length(array_to_string(a[lo + 1:hi], ' ')) AS length,
+        CASE way WHEN 'replace' THEN new WHEN 'before' THEN new || ' ' || a[i1 + 1] WHEN 'after' THEN a[na] || ' ' || new
+                 WHEN 'previous' THEN a[i1] ELSE a[i2 + 1] END AS replacement,
+        CASE WHEN way = 'replace' THEN CAST(1 AS BIGINT) END AS match_type FROM f""",
     "d2_replace": _given_sql(
         "array_to_string(list_transform(tok, lambda t, i: CASE WHEN i - 1 = k THEN t || 'x' ELSE t END), ' ')",
         """SELECT d.doc_id, d.sent_idx, start AS "offset", length(token) AS length, tok[k + 1] AS replacement,

@@ -52,8 +52,8 @@ def _common_prefix(a: Column, b: Column) -> Column:
 
 def _repeated(tokens: Column) -> Column:
     """Distinct tokens that occur more than once."""
-    return F.array_distinct(
-        F.filter(tokens, lambda x, i: F.array_position(tokens, x) != i + 1)
+    return let(
+        F.array_sort(tokens), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1)))
     )
 
 

@@ -122,6 +122,7 @@ CLOSED_CLASSES = {
 
 # A token of the typed path: clitics split off, single punctuation marks.
 CLITIC = "(?:[nN]'[tT]|'(?:[sS]|[mM]|[rR][eE]|[vV][eE]|[lL][lL]|[dD]))"
+PLAIN_TOKEN = rf"(?:{WORD}+|[^\p{{L}}\p{{N}}_" + WS[1:] + ")"  # the same where no apostrophe occurs
 LIB_TOKEN = (
     f"(?:{WORD}+?(?=[nN]'[tT](?!{WORD}))|{CLITIC}(?!{WORD})|{WORD}+|"
     r"[^\p{L}\p{N}_" + WS[1:] + ")"

@@ -95,12 +95,19 @@ def ws_token_starts(text: Column) -> Column:
 
 def lib_pieces(text: Column) -> Column:
     """Tokens with punctuation and English clitics split off, with the whitespace before them."""
-    return F.regexp_extract_all(text, F.lit(f"{P.WS}*{P.LIB_TOKEN}"), F.lit(0))
+    return _lib_matches(text, f"{P.WS}*")
 
 
 def lib_tokens(text: Column) -> Column:
     """Tokens with punctuation and English clitics split off."""
-    return F.regexp_extract_all(text, F.lit(P.LIB_TOKEN), F.lit(0))
+    return _lib_matches(text, "")
+
+
+def _lib_matches(text: Column, lead: str) -> Column:
+    """The clitic branch looks ahead at every letter, so only texts with an apostrophe take it."""
+    clitics = F.regexp_extract_all(text, F.lit(lead + P.LIB_TOKEN), F.lit(0))
+    plain = F.regexp_extract_all(text, F.lit(lead + P.PLAIN_TOKEN), F.lit(0))
+    return F.when(F.contains(text, F.lit("'")), clitics).otherwise(plain)
 
 
 def lib_token_starts(text: Column) -> Column:

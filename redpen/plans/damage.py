@@ -78,8 +78,8 @@ def thinned(df: DataFrame) -> DataFrame:
     )
 
 
-def edges(df: DataFrame) -> DataFrame:
-    """Damage at the edges of a sentence, one row per kind.
+def edges(df: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Damage at the edges of a sentence, one row per kind; only the ``wanted`` kinds if given.
 
     Lower-cased first letter, missing final period, missing final colon, trailing
     spaces before a colon, and a removed emoji.
@@ -96,6 +96,7 @@ def edges(df: DataFrame) -> DataFrame:
                 ("spaces", F.concat(clean, F.lit("  ")), F.concat(clean, F.lit(":"))),
                 ("emoji", F.concat(clean, F.lit(" 😀")), clean),
             ]
+            if wanted is None or name in wanted
         ]
     )
     return df.select("doc_id", "sent_idx", F.explode_outer(kinds).alias("x")).select(
