@@ -14,10 +14,10 @@ MATCH = "doc_id long, sent_idx int, corrector_idx int, match_idx int, offset int
 
 
 def test_distinct_and_order(spark):
-    rows = [(1, 0, 0, 0, 0, 4, "This"), (1, 0, 1, 0, 5, 3, "is"), (1, 0, 1, 1, 0, 4, "This"), (1, 0, 1, 2, 0, 4, "That")]
+    rows = [(1, 0, 0, 0, 2, 5, "boats"), (1, 0, 1, 0, 9, 2, "at"), (1, 0, 1, 1, 2, 5, "boats"), (1, 0, 1, 2, 2, 5, "ships")]
     df = merge.order_matches(merge.distinct_matches(spark.createDataFrame(rows, MATCH), ["doc_id", "sent_idx"]), ["doc_id", "sent_idx"])
     got = [(r.offset, r.replacement, r.corrector_idx) for r in df.orderBy("rank").collect()]
-    assert got == [(0, "This", 0), (0, "That", 1), (5, "is", 1)]
+    assert got == [(2, "boats", 0), (2, "ships", 1), (9, "at", 1)]
 
 
 def test_no_correctors_gives_empty_results(spark):
@@ -32,10 +32,31 @@ def test_failing_corrector_leaves_the_others(spark):
         return run
 
     bad = C.Corrector("bad", kind="openai", batch_function=broken)
-    good = C.Corrector("good", rules=[("are", "is")])
-    df = spark.createDataFrame([(1, 0, "en", "he are happy today my friend")], "doc_id long, sent_idx int, lang string, text string")
-    got = check.check_sentences(df, [bad, good]).first().matches
-    assert [(m.replacement, m.rule_id, m.corrector_idx) for m in got] == [("is", "good", 1)]
+    good = C.Corrector("good", rules=[("was", "were")])
+    df = spark.createDataFrame([(1, 0, "en", "they was late again this morning")], "doc_id long, sent_idx int, lang string, text string")
+    row = check.check_sentences(df, [bad, good]).first()
+    assert [(m.replacement, m.rule_id, m.corrector_idx) for m in row.matches] == [("were", "good", 1)]
+    assert [(e.rule_id, "down" in e.error) for e in row.errors] == [("bad", True)]
+
+
+def test_every_sentence_stays(spark):
+    rows = [(1, 0, "en", "they was late"), (1, 1, None, "they was late"), (2, 0, "fr", "was was"), (3, 0, "en", None), (4, 0, "en", "was " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, sent_idx int, lang string, text string")
+    good = C.Corrector("good", rules=[("was", "were")])
+    got = {(r.doc_id, r.sent_idx): len(r.matches) for r in check.check_sentences(df, [good]).collect()}
+    assert len(got) == 5 and got[1, 0] == got[1, 1] == 1 and got[4, 0] == 400
+    asked = check.check_sentences(df, [good], language="^en", max_length=100)
+    assert {(r.doc_id, r.sent_idx): len(r.matches) for r in asked.collect()} == {(1, 0): 1, (1, 1): 0, (2, 0): 0, (3, 0): 0, (4, 0): 0}
+
+
+def test_null_keys_stay_in_run_reports(spark):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, k, start + datetime.timedelta(seconds=i), True, float(i), i) for k in (None, "a") for i in range(9)]
+    calls = spark.createDataFrame(rows, "run_id string, rule_id string, ts timestamp, ok boolean, latency_ms double, call_id long")
+    assert {r.rule_id for r in runs.latency_percentiles(calls, [0.5]).collect()} == {None, "a"}
+    left = spark.createDataFrame([(None, 1), (1, 2)], "k int, x int")
+    right = spark.createDataFrame([(None, "n"), (1, "o")], "k int, y string")
+    assert {(r.k, r.x, r.y) for r in spread_join(left, right, ["k"]).collect()} == {(None, 1, "n"), (1, 2, "o")}
 
 
 def test_batch_function_isolates_failures_and_fills_empty_output(spark):
@@ -143,12 +164,12 @@ FEATURE = "text string, matches array<struct<offset:int,length:int,replacement:s
 
 def test_features_golden(spark):
     o, c = "<|start_of_replace|>", "<|end_of_replace|>"
-    df = spark.createDataFrame([("I have a apple.", [(9, 5, "an apple")]), ("He go to school.", [(3, 2, "goes"), (9, 6, "the school")])], FEATURE)
+    df = spark.createDataFrame([("We saw a owl.", [(9, 3, "an owl")]), ("She run to harbour.", [(4, 3, "runs"), (11, 7, "the harbour")])], FEATURE)
     got = [r.feature for r in classify.features_per_match(df).collect()]
     assert got == [
-        f"I have a <CLS>{o}apple<SEP>an apple{c}.",
-        f"He <CLS>{o}go<SEP>goes{c} to {o}school<SEP>the school{c}.",
-        f"He {o}go<SEP>goes{c} to <CLS>{o}school<SEP>the school{c}.",
+        f"We saw a <CLS>{o}owl<SEP>an owl{c}.",
+        f"She <CLS>{o}run<SEP>runs{c} to {o}harbour<SEP>the harbour{c}.",
+        f"She {o}run<SEP>runs{c} to <CLS>{o}harbour<SEP>the harbour{c}.",
     ]
     one = df.select(classify.feature(F.col("text"), F.col("matches"), F.lit(0))).first()[0]
     assert one == got[0]

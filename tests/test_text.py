@@ -15,15 +15,15 @@ def strings(seed, n):
 
 
 def test_fix_tokenization_golden(spark):
-    same = ['He said " hello "', "pages 10 - 20", "5 - 3 = 2", "x + y", ": )", ": ("]
+    same = ['They called " wait "', "rows 3 - 9", "8 - 2 = 6", "p + q", ": )", ": ("]
     cases = [(s, s) for s in same] + [
-        ("He said it 's wrong", "He said it's wrong"), ("I ' m going", "I'm going"),
-        ("They ' re here", "They're here"), ("I 'll go", "I'll go"), ("I like food .", "I like food."),
-        ("Hello world . ", "Hello world. "), ("One , two , three", "One, two, three"),
-        ("I ' m here .", "I'm here."), ("What is this ?", "What is this?"),
-        ("I agree ; however", "I agree; however"), ("Note the following :", "Note the following:"),
-        ("well - known fact", "well-known fact"), ("up - to - date", "up-to-date"),
-        ("She 's happy !", "She's happy!"),
+        ("We know that 's late", "We know that's late"), ("I ' m early", "I'm early"),
+        ("They ' re singing", "They're singing"), ("We 'll wait", "We'll wait"), ("We saw birds .", "We saw birds."),
+        ("Old boats . ", "Old boats. "), ("Red , blue , green", "Red, blue, green"),
+        ("I ' m early .", "I'm early."), ("Where were you ?", "Where were you?"),
+        ("We waited ; nobody", "We waited; nobody"), ("Mind these rows :", "Mind these rows:"),
+        ("long - lost friend", "long-lost friend"), ("out - of - town", "out-of-town"),
+        ("That 's late !", "That's late!"),
     ]
     df = spark.createDataFrame(cases, "raw string, expected string")
     got = df.select("raw", "expected", X.fix_tokenization(F.col("raw")).alias("got")).collect()
@@ -47,9 +47,9 @@ def test_tokens_and_offsets_match_python(spark):
 
 
 def test_lib_tokens_split_clitics(spark):
-    df = spark.createDataFrame([("I don't think it's John's, they'll say.",)], "text string")
+    df = spark.createDataFrame([("We can't say it's Anna's, you'll see.",)], "text string")
     got = df.select(X.lib_tokens(F.col("text")).alias("t")).first().t
-    assert got == ["I", "do", "n't", "think", "it", "'s", "John", "'s", ",", "they", "'ll", "say", "."]
+    assert got == ["We", "ca", "n't", "say", "it", "'s", "Anna", "'s", ",", "you", "'ll", "see", "."]
 
 
 def test_sentences(spark):
@@ -68,10 +68,10 @@ def test_prompt_keeps_special_characters(spark):
 
 
 def test_emoji_normalisation(spark):
-    cases = ["Thanks 👍🏽", "❤️ x", "👨‍👩‍👧 family", "🟢 test", "text 🟢 more", "漢字"]
+    cases = ["Great 👍🏽", "❤️ y", "👨‍👩‍👧 picture", "🟢 ready", "all 🟢 good", "漢字"]
     df = spark.createDataFrame([(c,) for c in cases], "text string")
     got = [tuple(r) for r in df.select(X.normalise_emoji(F.col("text")), X.normalise_emoji(F.col("text"), True)).collect()]
-    loose = ["Thanks", "x", "family", "test", "text more", ""]
+    loose = ["Great", "y", "picture", "ready", "all good", ""]
     assert [g[0] for g in got] == loose
     assert [g[1] for g in got] == loose[:-1] + ["漢字"]
 
