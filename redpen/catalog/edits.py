@@ -7,6 +7,7 @@ from redpen.catalog.base import (
     sql_token_rows, sql_ws_tokens, SQL_LIB_TOKEN,
 )
 from redpen.functions import patterns as P
+from redpen.functions import text as X
 from redpen.functions.diff import with_edits, with_hunk
 from redpen.operators import edits as E
 from redpen.operators import labels, project, suppress
@@ -41,11 +42,26 @@ def d1_routes(spark, sf):
 
 
 def d1_all_edits(spark, sf):
-    """Every pair, several hunks and the Python branch included."""
+    """Every pair, several hunks and the Python branch included: the corrected tokens rebuilt from the edits."""
     base = clean(spark, sf)
-    df = _pairs(spark, sf).drop("kind").unionByName(damage.doubled(base)).unionByName(damage.thinned(base))
-    df = E.with_plain_edits(df).select(*IDS, F.explode_outer("edits").alias("e")).select(*IDS, "e.*")
-    return df.where(F.col("op").isNotNull())
+    more = {"doubled": damage.doubled, "thinned": damage.thinned}
+    df = _pairs(spark, sf)
+    for name, f in more.items():
+        df = df.unionByName(f(base).withColumn("kind", F.lit(name)))
+    df = E.with_plain_edits(df)
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+
+    def take(acc, e):
+        same = F.slice("a_tok", acc["at"] + 1, e["i1"] - acc["at"])
+        new = F.slice("b_tok", e["j1"] + 1, e["j2"] - e["j1"])
+        return F.struct(F.concat(acc["out"], same, new).alias("out"), e["i2"].alias("at"))
+
+    def finish(acc):
+        return F.concat(acc["out"], F.slice("a_tok", acc["at"] + 1, F.size("a_tok")))
+
+    # Where the texts agree there are no tokens and no edits.
+    rebuilt = F.coalesce(F.aggregate("edits", start, take, finish), X.ws_tokens(F.col("original")))
+    return df.select(*IDS, "kind", F.md5(F.array_join(rebuilt, " ")).alias("digest"))
 
 
 def plain_path(spark, sf):
@@ -330,6 +346,9 @@ ORACLES = {
     "d1_native_edits": f"""WITH {_HUNK} SELECT doc_id, sent_idx, kind, p AS i1, na - s AS i2, p AS j1, nb - s AS j2
       FROM routed WHERE route = 'hunk'""",
     "d1_routes": f"WITH {_HUNK} SELECT kind, route, count(*) AS n FROM routed GROUP BY ALL",
+    "d1_all_edits": f"""WITH {CLEAN} SELECT doc_id, sent_idx,
+      unnest(['substituted', 'dropped', 'inserted', 'doubled', 'thinned']) AS kind,
+      md5(array_to_string({sql_ws_tokens(sql_fix(sql_spaced('clean')))}, ' ')) AS digest FROM clean""",
     "plain_path": f"""WITH {_HUNK},
       h AS (SELECT *, p AS i1, na - s AS i2, array_to_string(b[p + 1:nb - s], ' ') AS new, nb - s > p AS adds FROM routed WHERE route = 'hunk' AND na > 0),
       c AS (SELECT *, CASE WHEN adds AND i2 > i1 THEN 'replace' WHEN adds AND i1 < na THEN 'before' WHEN adds THEN 'after'

@@ -64,18 +64,15 @@ def spelling_codes(
     old = vocab.select(F.col("token").alias("_o"), F.col("n").alias("_o_n"))
     new = vocab.select(F.col("token").alias("_c"), F.col("n").alias("_c_n"))
     df = edits.withColumns({"_o": F.lower("o_str"), "_c": F.lower("c_str")})
-    # Frequent words of the corpus are the frequent words among the edits.
-    df = spread_join(df, old, ["_o"], "left", old.withColumnRenamed("_o_n", "_rows"))
-    df = spread_join(df, new, ["_c"], "left", new.withColumnRenamed("_c_n", "_rows"))
     word = "^" + P.WORD + "+$"
+    # Only these can change. The others, missing and unneeded words among them, are not shuffled.
+    candidate = F.coalesce((F.col("code") == "R:OTHER") & F.col("_o").rlike(word) & F.col("_c").rlike(word), F.lit(False))
+    asked = spread_join(df.where(candidate), old, ["_o"], "left")
+    asked = spread_join(asked, new, ["_c"], "left")
     spelling = (
-        (F.col("code") == "R:OTHER")
-        & F.col("_o").rlike(word)
-        & F.col("_c").rlike(word)
-        & (F.coalesce("_o_n", F.lit(0)) <= rare)
+        (F.coalesce("_o_n", F.lit(0)) <= rare)
         & (F.col("_c_n") >= common)
         & (F.levenshtein("_o", "_c") <= distance)
     )
-    return df.withColumn(
-        "code", F.when(spelling, "R:SPELL").otherwise(F.col("code"))
-    ).drop("_o", "_c", "_o_n", "_c_n")
+    asked = asked.withColumn("code", F.when(spelling, "R:SPELL").otherwise(F.col("code")))
+    return asked.select(*edits.columns).unionByName(df.where(~candidate).select(*edits.columns))
