@@ -106,12 +106,16 @@ def p8_wire(spark, sf):
         }
     )
     out = project.wire_matches(df)
+    first = F.get("suggested_replacements", F.lit(0))
     return out.select(
         "doc_id", "sent_idx", "offset", "length", "replacement", "corrector_idx", "id", "sub_id",
         F.size("suggestions").alias("n_suggestions"), "match_description", "match_short_description",
         "confidence", "auto_correct", "type", "context_for_sure_match", "rule_description",
         F.col("rule.source_file").alias("source_file"), F.col("rule.issue_type").alias("issue_type"),
-        F.col("rule.category.name").alias("category_name"),
+        F.col("rule.category.name").alias("category_name"), F.size("rule.tags").alias("n_tags"),
+        F.size("suggested_replacements").alias("n_replacements"),
+        first["replacement"].alias("first_replacement"), first["description"].alias("first_description"),
+        first["suffix"].alias("first_suffix"), first["confidence"].alias("first_confidence"),
     )
 
 
@@ -194,7 +198,10 @@ ORACLES = {
       CASE corrector_idx WHEN 1 THEN 'why' END AS rule_description,
       CASE WHEN corrector_idx > 0 THEN '{P.DEFAULT_SOURCE_FILE}' END AS source_file,
       CASE WHEN corrector_idx > 0 THEN 'style' END AS issue_type,
-      CASE WHEN corrector_idx = 2 THEN 'Style Suggestion' END AS category_name
+      CASE WHEN corrector_idx = 2 THEN 'Style Suggestion' END AS category_name,
+      CASE WHEN corrector_idx > 0 THEN CAST(0 AS BIGINT) ELSE NULL END AS n_tags, CAST(1 AS BIGINT) AS n_replacements,
+      replacement AS first_replacement, '' AS first_description, '' AS first_suffix,
+      CAST(CASE WHEN corrector_idx = 0 THEN 0.5 ELSE -1 END AS DOUBLE) AS first_confidence
       FROM flags""",
     "p9_shift": f"""WITH {SENTS}, {FLAGS}, st AS (SELECT doc_id, sent_idx, coalesce(sum(length(text) + 2) OVER
         (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_start FROM sents)

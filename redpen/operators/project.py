@@ -1,6 +1,6 @@
 """Row-wise operators: sentences, tokens, eligibility, wire form."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpen.functions import patterns as P
@@ -91,13 +91,36 @@ def _or(column: str, default: str) -> F.Column:
     return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(default))
 
 
+def _suggestions(df: DataFrame) -> Column:
+    """Suggested replacements with their defaults; from the flat columns where there is no list."""
+
+    def filled(replacement, description, suffix, confidence):
+        return F.struct(
+            replacement.cast("string").alias("replacement"), F.coalesce(description, F.lit("")).alias("description"),
+            F.coalesce(suffix, F.lit("")).alias("suffix"),
+            F.coalesce(confidence.cast("float"), F.lit(-1).cast("float")).alias("confidence"),
+        )
+
+    none = F.array().cast("array<struct<replacement:string,description:string,suffix:string,confidence:float>>")
+    if "suggested_replacements" in df.columns:
+        listed = F.transform(
+            "suggested_replacements", lambda r: filled(r["replacement"], r["description"], r["suffix"], r["confidence"])
+        )
+        return F.coalesce(listed, none)
+    if "replacement" not in df.columns:
+        return none
+    one = filled(*[F.col(c) for c in ("replacement", "description", "suffix", "confidence")])
+    return F.when(F.col("replacement").isNotNull(), F.array(one)).otherwise(none)
+
+
 def wire_matches(
     matches: DataFrame, default_id: str = P.DEFAULT_RULE_ID, source_file: str = P.DEFAULT_SOURCE_FILE
 ) -> DataFrame:
     """Fill defaults the way the service reports a match.
 
     The match type is always 0 and ``auto_correct`` always true. Columns that the
-    input lacks count as null. ``rule`` stays null unless the input has one
+    input lacks count as null. ``suggested_replacements`` is a list of (replacement,
+    description, suffix, confidence), a missing confidence -1. ``rule`` stays null unless the input has one
     (``STRUCT<id, description, issue_type, category STRUCT<..>>``).
     """
     have = set(matches.columns)
@@ -147,7 +170,9 @@ def wire_matches(
                     ),
                 ).alias("category"),
                 F.lit(False).alias("is_premium"),
+                F.array().cast("array<string>").alias("tags"),
             ),
         )
+    out["suggested_replacements"] = _suggestions(df)
     drop = {"message", "short_message", "description", "suffix", "rule_id", "match_type"}
     return df.withColumns(out).drop(*(drop - set(out)))
