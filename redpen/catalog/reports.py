@@ -38,6 +38,19 @@ def c2_features_no_overlap(spark, sf):
     return df.select(*IDS, "selected", F.md5("feature").alias("digest"))
 
 
+def _by_length():
+    """User classifier: parity and length of the feature."""
+    def run(features):
+        return [f'{{"label": "{"odd" if len(f) % 2 else "even"}", "score": {len(f) % 100 / 100}}}' for f in features]
+
+    return run
+
+
+def c12_scored_matches(spark, sf):
+    df = classify.classify_matches(_ordered(spark, sf), _by_length)
+    return df.select(*IDS, "selected", "label", r6("score").alias("score"), F.col("error").isNotNull().alias("failed"))
+
+
 def _every_fourth(j):
     return lambda v, i: i % 4 == j
 
@@ -170,7 +183,7 @@ def a7_consistency(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        c1_feature, c2_features, c2_features_no_overlap, c3_calibrated, c4_softmax, c5_top_labels, c6_best_label,
+        c1_feature, c2_features, c2_features_no_overlap, c12_scored_matches, c3_calibrated, c4_softmax, c5_top_labels, c6_best_label,
         c7_label_names, c8_vector, c9_both, c10_parsed, c11_range, a1_summary, a2_running_throughput,
         a3_failure_rates, a4_percentiles, a5_matches_per, a6_micro_batches, a7_consistency,
     )
@@ -231,6 +244,10 @@ ORACLES = {
       FROM sents s LEFT JOIN nested n USING (doc_id, sent_idx)""",
     "c2_features": f"""{_FIRSTS}, {_segments('firsts')}, sel AS (SELECT *, unnest(range(k)) AS selected FROM nested)
       SELECT doc_id, sent_idx, selected, md5({_FEATURE.format(sel='selected')}) AS digest FROM sel""",
+    "c12_scored_matches": f"""{_FIRSTS}, {_segments('firsts')}, sel AS (SELECT *, unnest(range(k)) AS selected FROM nested),
+      f AS (SELECT doc_id, sent_idx, selected, length({_FEATURE.format(sel='selected')}) AS n FROM sel)
+      SELECT doc_id, sent_idx, selected, CASE WHEN n % 2 = 1 THEN 'odd' ELSE 'even' END AS label,
+        round((n % 100) / 100.0::DOUBLE, 6) AS score, false AS failed FROM f""",
     # Flags of one sentence overlap only on the very same token: keep the first.
     "c2_features_no_overlap": f"""{_FIRSTS}, kept AS (SELECT * FROM firsts QUALIFY row_number() OVER
         (PARTITION BY doc_id, sent_idx, "offset" ORDER BY corrector_idx, match_idx) = 1),

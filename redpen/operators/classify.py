@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from redpen.functions import patterns as P
 from redpen.functions import scores as S
 from redpen.functions.text import let, running_sums, span_text
+from redpen.operators.correctors import BatchFunction, rewrite_batches
 
 
 def without_overlaps(matches: Column) -> Column:
@@ -106,6 +107,24 @@ def features_per_match(
     )
 
 
+def classify_matches(
+    df: DataFrame, function: BatchFunction, sentence: str = "text", matches: str = "matches",
+    batch_size: int = 8, overlaps: bool = True,
+) -> DataFrame:
+    """Label and score of every match by a user classifier over its feature.
+
+    ``function`` builds, once per task, a function from a batch of features to as many outputs
+    ``{"label", "score"}`` as text. Outputs that are no JSON, and features that the function
+    fails on, are ``unknown`` with score 0; ``error`` names the failure.
+    """
+    rows = features_per_match(df, sentence, matches, overlaps)
+    told = rewrite_batches(rows, function, "feature", "feature", "_payload", batch_size)
+    parsed = S.parsed_output(F.col("_payload"))
+    return told.withColumn("_parsed", parsed).withColumns(
+        {"label": F.col("_parsed.label"), "score": F.col("_parsed.score")}
+    ).drop("_payload", "_parsed")
+
+
 def with_probabilities(
     df: DataFrame,
     calibrators: list[tuple[list[float], float]] | None = None,
