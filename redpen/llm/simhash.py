@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from redpen.llm.common import UPPER, keep_table, packed, row_keys
 from redpen.llm.components import components
+from redpen.operators.skew import spread_join
 
 BITS, DISTANCE = 64, 3
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -20,11 +21,12 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 FEW, CHUNK = 64, 2048
 PIVOTS = 8
 ROWS = 4096  # shingles whose bits are counted at a time
-# Wide prints for a similarity threshold: words of 64 bits, three keys of 20 bits in each.
-WORDS, KEY_BITS, KEYS = 16, 20, 3
-# Pairs that agree in a key of a word differ in at most so many of its other bits.
-WORD_DISTANCE = 15
-MIXERS = np.array([xxhash.xxh64_intdigest(f"mixer {i}") | 1 for i in range(WORDS)], np.uint64)
+# Prints of shingle sets: the least hash under so many orders; bands of them are keys.
+BAND, BANDS = 5, 30
+MIXERS = np.array([xxhash.xxh64_intdigest(f"mixer {i}") | 1 for i in range(BAND * BANDS)], np.uint64)
+SHIFTS = np.array([xxhash.xxh64_intdigest(f"shift {i}") for i in range(BAND * BANDS)], np.uint64)
+# Deviations by which a pair's share of equal print places may fall short before its sets are not compared.
+SLACK = 6
 
 
 def _signed(n: int) -> int:
@@ -194,103 +196,135 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     )
 
 
-def wide_print(text: str | None, shingle: int) -> bytes:
-    """1,024 bits of a text: every shingle hash is mixed into sixteen words."""
-    hashes = shingle_hashes(text, shingle)
-    mixed = (hashes[:, None] ^ (hashes[:, None] >> np.uint64(31))) * MIXERS
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= MIXERS[::-1]
-    return majority(mixed ^ (mixed >> np.uint64(29)))
+def set_print(shingles: np.ndarray) -> np.ndarray:
+    """The least of the distinct shingle hashes under every order; two sets agree in a place as often as they are similar."""
+    least = np.full(len(MIXERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), ROWS):
+        np.minimum(least, ((shingles[at : at + ROWS, None] * MIXERS) ^ SHIFTS).min(0), out=least)
+    return least
 
 
-def wide_prints(documents: DataFrame, shingle: int) -> DataFrame:
-    """Row keys, doc_id, print and node, the print's digest."""
+def set_prints(documents: DataFrame, shingle: int) -> DataFrame:
+    """Row keys, doc_id, and of the distinct shingles: node, the set's digest, size, keys, and marks, a byte per print place."""
 
     def run(batches):
         for batch in batches:
-            prints = [wide_print(t, shingle) for t in batch.column(3).to_pylist()]
-            nodes = [xxhash.xxh3_128_digest(p) for p in prints]
+            nodes, sizes, keys, marks = [], [], [], []
+            for text in batch.column(3).to_pylist():
+                own = np.unique(shingle_hashes(text, shingle))
+                nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                least = set_print(own)
+                bands = [least[i : i + BAND].tobytes() for i in range(0, len(least), BAND)] if len(own) else []
+                keys.append([_signed(xxhash.xxh3_64_intdigest(b, i)) for i, b in enumerate(bands)])
+                marks.append((least & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(3)], pa.array(nodes, pa.binary()), pa.array(prints, pa.binary())],
-                names=["_k1", "_k2", "doc_id", "node", "print"],
+                [*[batch.column(i) for i in range(3)], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                names=["_k1", "_k2", "doc_id", "node", "size", "keys", "marks"],
             )
 
     rows = documents.select(*row_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, node binary, print binary")
-
-
-def expected_distance(similarity: float) -> int:
-    """Differing bits of a wide print at a Jaccard similarity of the shingles."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(round(BITS * WORDS * np.arccos(cosine) / np.pi))
-
-
-def _word_keys(batches):
-    """band, key, node and the word that the key is cut from."""
-    low = np.uint64((1 << KEY_BITS) - 1)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
-        for word in range(WORDS):
-            for part in range(KEYS):
-                keys = (words[:, word] >> np.uint64(part * KEY_BITS)) & low
-                band = pa.array(np.full(len(words), word * KEYS + part, np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [band, pa.array(keys.astype(np.int64)), batch.column(0), pa.array(words[:, word].view(np.int64))],
-                    names=["band", "key", "node", "word"],
-                )
-
-
-def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """Edges a, b between nodes whose prints differ by no more than the similarity allows.
-
-    ``prints`` has node and print. Nodes meet under 48 keys of 20 bits. Pairs of small
-    buckets are checked on the word at hand, and then, once each, on the whole print. Large
-    buckets are compared in squares of chunks with pivots taken from the chunk itself.
-    """
-    distance = expected_distance(similarity)
-    members = prints.select("node", "print").mapInArrow(_word_keys, "band int, key long, node binary, word long")
-    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keep_table(members.join(sizes, ["band", "key"]), "buckets")
+    return rows.mapInArrow(
+        run, "_k1 long, _k2 long, doc_id long, node binary, size int, keys array<long>, marks binary"
+    )
+
+
+def shingle_sets(documents: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
+    """node and hashes, the sorted distinct shingle hashes, of the nodes in ``chosen`` (_k1, _k2, node)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    rows = documents.select(*row_keys(), F.col("text").cast("string").alias("text")).join(chosen, ["_k1", "_k2"])
+    return rows.select("node", "text").mapInArrow(run, "node binary, hashes binary").dropDuplicates(["node"])
 
-    few = shared.where(F.col("n") <= FEW)
-    other = few.select("band", "key", F.col("node").alias("node2"), F.col("word").alias("word2"))
-    close = F.bit_count(F.col("word").bitwiseXOR(F.col("word2"))) <= WORD_DISTANCE
-    pairs = few.join(other, ["band", "key"]).where((F.col("node") < F.col("node2")) & close).select("node", "node2").distinct()
-    both = pairs.join(prints, "node").join(prints.select(F.col("node").alias("node2"), F.col("print").alias("print2")), "node2")
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose shingle sets have at least the Jaccard similarity, by the sets themselves."""
+    pairs = keep_table(pairs, "pairs")
 
     def verify(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, WORDS) for i in (2, 3))
-            near = np.bitwise_count(a ^ b).sum(1) <= distance
-            yield batch.select([0, 1]).filter(pa.array(near)).rename_columns(["a", "b"])
+            near = []
+            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(common / (len(x) + len(y) - common) >= similarity)
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    # One b may be paired with very many a; an a has at most one b per key and bucket.
+    second = spread_join(pairs, sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), ["b"])
+    both = second.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+    return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(verify, "a binary, b binary")
+
+
+def fewest_equal(similarity: float) -> int:
+    """Equal print places that a pair of the similarity has but for SLACK deviations."""
+    n = BAND * BANDS
+    return int(n * similarity - SLACK * np.sqrt(n * similarity * (1 - similarity)))
+
+
+def similar_links(documents: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node and root of all nodes with a link: sets of at least the Jaccard similarity are linked.
+
+    Nodes meet under thirty keys, each of five places of the print. All members of a bucket are
+    compared with one of them first. Only where that leaves several components in a bucket are
+    the pairs across them compared, in squares of chunks. Every link is checked on the sets.
+    """
+    nodes = rows.groupBy("node").agg(
+        F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("marks").alias("marks"),
+        F.min(F.struct("_k1", "_k2")).alias("row"),
+    )
+    nodes = keep_table(nodes.where("size > 0"), "nodes")
+    members = nodes.select("node", "size", F.explode("keys").alias("key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("hub")).where("n > 1")
+    shared = keep_table(
+        members.join(sizes, "key").select("key", "n", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")),
+        "buckets",
+    )
+    met = nodes.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = keep_table(shingle_sets(documents, met.select("node", "row.*"), shingle), "sets")
+
+    fits = F.least("size", "hub_size") >= F.lit(similarity) * F.greatest("size", "hub_size")
+    spokes = shared.where((F.col("node") != F.col("hub")) & fits).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    first = keep_table(similar_pairs(spokes.distinct(), sets, similarity), "links")
+    roots = keep_table(components(first), "roots")
 
-    checked = both.select("node", "node2", "print", "print2").mapInArrow(verify, "a binary, b binary")
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = rooted.join(split, "key").join(met.select("node", "marks"), "node")
+    least = fewest_equal(similarity)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.frombuffer(b"".join(group.print), "<u8").reshape(-1, WORDS)
-        chosen = bits[np.linspace(0, len(bits) - 1, PIVOTS).astype(int)]
-        columns = np.stack([np.bitwise_count(bits ^ p).sum(1) for p in chosen]).astype(np.int16)
-        nodes = group.node.to_numpy()
-        found = [(nodes[i], nodes[j]) for i, j in _spanning_pairs(bits, columns, distance)]
+        nodes, sizes, found = group.node.to_numpy(), group["size"].to_numpy(), []
+        marks = np.frombuffer(b"".join(group.marks), np.uint8).reshape(len(group), -1)
+        root, spoke = pd.factorize(group.root)[0], (group.node != group.hub).to_numpy()
+        for i in np.flatnonzero(spoke):
+            rest = np.flatnonzero(spoke[i + 1 :] & (root[i + 1 :] != root[i])) + i + 1
+            low, high = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+            rest = rest[low >= similarity * high]
+            rest = rest[(marks[rest] == marks[i]).sum(1) >= least]
+            found += [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for j in rest]
         return pd.DataFrame(found, columns=["a", "b"], dtype="object")
 
-    many = _squares(shared.where(F.col("n") > FEW), "node").join(prints, "node")
-    crowded = many.groupBy("band", "key", "i", "j").applyInPandas(compare, "a binary, b binary")
-    return checked.union(crowded)
+    squares = _squares(left, "node").select("key", "i", "j", "node", "hub", "root", "size", "marks")
+    across = squares.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return components(first.union(similar_pairs(across, sets, similarity)))
 
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``documents`` with one document left of every class of near duplicates, the one of the smallest doc_id.
 
-    Documents are linked if their word shingles are similar by their wide fingerprints.
-    All columns stay, whatever their names. Documents without words are one class. Of
-    repeated rows one stays. A null doc_id stays only where a class has no other.
+    Documents are linked if the Jaccard similarity of their sets of word shingles is at least
+    ``similarity``; how often a shingle occurs does not matter. All columns stay, whatever
+    their names. Documents without words are one class. Of repeated rows one stays. A null
+    doc_id stays only where a class has no other.
     """
-    rows = keep_table(wide_prints(documents, shingle), "prints")
-    prints = rows.groupBy("node").agg(F.first("print").alias("print"))
-    linked = components(similar_links(keep_table(prints, "nodes"), similarity))
+    rows = keep_table(set_prints(documents, shingle), "prints")
+    linked = similar_links(documents, rows, shingle, similarity)
     classed = rows.select("_k1", "_k2", "doc_id", "node").join(linked, "node", "left")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
     best = classed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("b")).select("b._k1", "b._k2")

@@ -106,3 +106,31 @@ def test_stage_keeps_one_of_each_group(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
     assert clean_rows(simhash.drop_near_duplicates(documents(spark, [])).collect()) == []
+
+
+def shingle_set(text):
+    ws = text.split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+def left_by_brute_force(rows):
+    sets = {i: shingle_set(t) for i, t in rows}
+    linked = [
+        (a, b) for a in sets for b in sets
+        if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    return set(roots(list(sets), linked).values())
+
+
+def fresh(tag, n):
+    return [f"{tag}x{i}" for i in range(n)]
+
+
+def test_stage_compares_sets_not_counts(spark):
+    line = " ".join(fresh("line", 14))
+    rows = [(i, " ".join(fresh(f"d{i}", 104)) + f" {line}" * 20) for i in range(12)]
+    repeated = " ".join(fresh("r", 60))
+    base = " ".join(fresh("s", 300))
+    rows += [(50, f"{base} {repeated}"), (51, base + f" {repeated}" * 40)]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()}
+    assert kept == left_by_brute_force(rows) == {*range(12), 50}
