@@ -134,3 +134,21 @@ def test_stage_compares_sets_not_counts(spark):
     rows += [(50, f"{base} {repeated}"), (51, base + f" {repeated}" * 40)]
     kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()}
     assert kept == left_by_brute_force(rows) == {*range(12), 50}
+
+
+def test_stage_against_brute_force_at_the_limit(spark):
+    draw, rows = random.Random(9), []
+    for i in range(240):
+        words = fresh(f"p{i}", draw.randrange(60, 400))
+        n = len(words) - 4
+        changed = round((1 - (0.78 + 0.07 * i / 240)) / (1 + 0.78 + 0.07 * i / 240) * n)
+        other = words[: len(words) - changed] + fresh(f"q{i}", changed)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    centre = fresh("c", 300)
+    for i in range(90):
+        rows.append((1000 + i, " ".join(centre[: 300 - i // 2] + fresh(f"e{i}", i // 2))))
+    rows += [(2000 + n, " ".join(fresh("t", n))) for n in range(1, 14)]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()}
+    want = left_by_brute_force(rows)
+    assert 240 < len(want & set(range(480))) < 480
+    assert kept == want
