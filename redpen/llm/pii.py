@@ -32,11 +32,14 @@ TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}(?![\p{L}\p{N}@_%+-]|\.[\p{L}\p{N}])"
 @dataclass(frozen=True)
 class Disclosure:
     """What counts as disclosing: characters of context on each side, the share of a value's
-    information content that a term must reveal, and in how many different contexts."""
+    information content that a term must reveal, and in how many different contexts. ``sure`` is
+    the share of a term's texts, one more counted, that must hold the value for the term to
+    disclose it wherever it stands, and however few its contexts."""
 
     context: int = 120
     share: float = 0.5
     contexts: int = 3
+    sure: float = 0.5
 
 
 def _digits(value: Column) -> Column:
@@ -119,40 +122,78 @@ def _terms(context: Column, shift: Column) -> Column:
     )
 
 
+def _words(text: Column) -> Column:
+    """Lower-case terms of a whole text, as often as they come."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
+
+
 def term_counts(documents: DataFrame) -> DataFrame:
-    """Occurrences of every word in all documents, stripped of marks and in lower case: term, n."""
-    tokens = documents.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACE)).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    term = F.lower(F.regexp_extract("token", r"^[^\p{L}\p{N}]*(\p{L}+)[^\p{L}\p{N}]*$", 1))
-    return counts.select(term.alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n"))
+    """Occurrences of every term in all documents, and the rows that have it: term, n, rows."""
+    own = hold(documents.select("text"), {"words": _words(F.col("text"))})
+    each = own.select(F.explode(F.concat(
+        F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("rows"))),
+        F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("rows"))),
+    )).alias("t")).select("t.*")
+    return each.groupBy("term").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
 
 
 def disclosing_terms(occurrences: DataFrame, counts: DataFrame, rule: Disclosure) -> DataFrame:
-    """Pairs of a value and a term that reveals enough of it: entity, term, share.
+    """Pairs of a value and a term that reveals enough of it: entity, term, share, sure.
 
     With P(term) over all words of the corpus and P(term | value) over the words beside the
     value, a term reveals log2 P(term | value) / P(term) bits of the value's information
     content -log2 P(value). Contexts that agree next to the value, as in copies, count once.
+
+    A value that comes once or twice has too few contexts for that. A term is ``sure`` by the
+    corpus instead: of the texts that have it, one more counted, enough have it beside the value.
+    Rows of one text beside the value count once.
     """
     once = occurrences.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = once.groupBy("entity", "term").agg(F.count("*").alias("seen"))
     beside = pairs.groupBy("entity").agg(F.sum("seen").alias("words"))
     shown = once.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.sum("one").alias("shown"))
+    texts = (
+        occurrences.groupBy("entity", "term", "_k2").agg(F.count_distinct("_k1").alias("rows"))
+        .groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("held"))
+    )
     total = F.lit(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1.0)
-    often = pairs.where(F.col("seen") >= rule.contexts)
-    revealed = F.log2(F.col("seen") / F.col("words") * total / F.greatest(F.col("n"), F.lit(1)))
+    revealed = F.log2(F.col("seen") / F.col("words") * total / F.greatest("n", F.lit(1)))
     content = F.log2(total / F.col("shown"))
+    all_texts = F.greatest(F.col("rows") - F.col("held") + F.col("texts"), F.col("texts"))
+    zero = F.lit(0).cast("long")
     return (
-        often.join(counts, "term").join(beside, "entity").join(shown, "entity")
-        .select("entity", "term", (revealed / content).alias("share")).where(F.col("share") >= rule.share)
+        pairs.join(texts, ["entity", "term"]).join(counts, "term", "left").join(beside, "entity").join(shown, "entity")
+        .withColumns({"n": F.coalesce("n", zero), "rows": F.coalesce("rows", zero)})
+        .select("entity", "term", "seen", (revealed / content).alias("share"), (F.col("texts") / (all_texts + 1) >= rule.sure).alias("sure"))
+        .where(F.col("sure") | ((F.col("seen") >= rule.contexts) & (F.col("share") >= rule.share))).drop("seen")
     )
 
 
+def _wanted(documents: DataFrame, entities: DataFrame, telling: DataFrame) -> DataFrame:
+    """Terms to be marked wherever they stand in a row: _k1, _k2, wanted.
+
+    Sure terms are wanted in every row that has them, the others in rows that hold their value.
+    Terms are met per row, each once; no value's rows meet its terms but through the row's own.
+    """
+    own = hold(documents.select("text", *row_keys()), {"words": F.array_distinct(_words(F.col("text")))})
+    sure = telling.where("sure").select("term").distinct()
+    everywhere = own.select("_k1", "_k2", F.explode("words").alias("term")).join(sure, "term", "left_semi")
+
+    other = telling.where(~F.col("sure")).select("entity", "term")
+    some = entities.join(other.select("entity").distinct(), "entity", "left_semi")
+    rows = own.join(some.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi")
+    words = rows.select("_k1", "_k2", F.explode("words").alias("term")).join(other.select("term").distinct(), "term", "left_semi")
+    beside = words.join(some, ["_k1", "_k2"]).join(other, ["entity", "term"], "left_semi")
+    both = everywhere.select("_k1", "_k2", "term").union(beside.select("_k1", "_k2", "term"))
+    return both.groupBy("_k1", "_k2").agg(F.collect_set("term").alias("wanted"))
+
+
 def find_personal_data(documents: DataFrame, rule: Disclosure | None = None) -> DataFrame:
     """Spans of every document: doc_id, the row keys, base and spans (arrays of at, kind, end).
 
-    ``base`` are the base kinds, ``spans`` adds kind 4, the disclosing terms beside values.
-    Only documents with a base span take part in the joins. Places are code points.
+    ``base`` are the base kinds, ``spans`` adds kind 4, the disclosing terms: beside their
+    value, elsewhere in documents that hold it, and, if they are sure, in any document.
+    Places are code points.
     """
     rule = rule or Disclosure()
     held = hold(documents.select("doc_id", "text", *row_keys()), {"found": base_spans(F.col("text"), rule.context)})
@@ -168,16 +209,29 @@ def find_personal_data(documents: DataFrame, rule: Disclosure | None = None) ->
         ).alias("t"),
     )
     occurrences = keep_table(each.select("_k1", "_k2", "entity", "context", "t.*"), "terms")
-    telling = disclosing_terms(occurrences, term_counts(documents), rule).select("entity", "term")
-    extra = occurrences.join(telling, ["entity", "term"], "left_semi").groupBy("_k1", "_k2").agg(
+    counts = keep_table(term_counts(documents), "counts")
+    telling = keep_table(disclosing_terms(occurrences, counts, rule).select("entity", "term", "sure"), "telling")
+    near = occurrences.join(telling, ["entity", "term"], "left_semi").groupBy("_k1", "_k2").agg(
         F.collect_set(F.struct("at", F.lit(len(KINDS)).alias("kind"), "end")).alias("extra")
     )
+    entities = found.select("_k1", "_k2", F.explode("found").alias("s")).select(
+        "_k1", "_k2", F.concat_ws(":", F.col("s.kind").cast("string"), "s.value").alias("entity")
+    ).distinct()
+    wanted = _wanted(documents, entities, telling)
+    marked = documents.select("text", *row_keys()).join(wanted, ["_k1", "_k2"]).select(
+        "_k1", "_k2", F.transform(
+            F.filter(_terms(F.col("text"), F.lit(0)), lambda t: F.array_contains("wanted", t["term"])),
+            lambda t: F.struct(t["at"].alias("at"), F.lit(len(KINDS)).alias("kind"), t["end"].alias("end")),
+        ).alias("far"),
+    ).dropDuplicates(["_k1", "_k2"])
     none = F.array().cast("array<struct<at:int,kind:int,end:int>>")
     base = F.transform("found", lambda s: F.struct(s["at"].alias("at"), s["kind"].alias("kind"), s["end"].alias("end")))
-    spans = found.select("_k1", "_k2", base.alias("base")).join(extra, ["_k1", "_k2"], "left").select(
-        "_k1", "_k2", "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("spans")
+    spans = (
+        found.select("_k1", "_k2", base.alias("base")).join(near, ["_k1", "_k2"], "left").join(marked, ["_k1", "_k2"], "full")
+        .withColumns({c: F.coalesce(c, none) for c in ("base", "extra", "far")})
     )
-    return spans
+    inside = F.filter("far", lambda t: ~F.exists("base", lambda s: (t["at"] < s["end"]) & (s["at"] < t["end"])))
+    return spans.select("_k1", "_k2", "base", F.array_sort(F.concat("base", F.array_union("extra", inside))).alias("spans"))
 
 
 NAMES = (*KINDS, "term")

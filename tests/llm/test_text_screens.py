@@ -155,3 +155,14 @@ def test_disclosing_terms_are_found_and_generalised(spark):
     assert "<TERM>" in texts[0] and "<EMAIL>" in texts[0] and "zor@" not in texts[0] and "Zorblax" not in texts[0]
     assert texts[50] == rows[6][1] and texts[100] is None and texts[101] == "nothing" and len(texts) == len({i for i, _ in rows})
     assert pii.report(documents(spark, [])).collect() == []
+
+
+def test_disclosing_terms_far_from_the_value(spark):
+    far = " ".join(f"filler{chr(97 + i % 26)} text" for i in range(60))
+    rows = [(1, f"Report by Quorvane {far} write to qv@corp.example today")]
+    rows += [(10 + i, f"Zorblax began. {far} Zorblax has zor@corp.example now {prose(i, 20)}") for i in range(6)]
+    rows += [(30, f"{far} Zorblax was seen {far}"), (31, f"{far} nothing here")]
+    rows += [(100 + i, f"{far} now today write has began was seen report {i}") for i in range(40)]
+    texts = {r.doc_id: r.text for r in pii.sanitise(documents(spark, rows)).collect()}
+    assert all("Zorblax" not in t for t in texts.values())
+    assert texts[30] == rows[7][1].replace("Zorblax", "<TERM>") and texts[31] == rows[8][1]
