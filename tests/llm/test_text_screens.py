@@ -166,3 +166,15 @@ def test_disclosing_terms_far_from_the_value(spark):
     texts = {r.doc_id: r.text for r in pii.sanitise(documents(spark, rows)).collect()}
     assert all("Zorblax" not in t for t in texts.values())
     assert texts[30] == rows[7][1].replace("Zorblax", "<TERM>") and texts[31] == rows[8][1]
+
+
+def test_values_that_come_once_or_twice_get_terms(spark):
+    common = " ".join(f"{w} " * 3 for w in ("please", "write", "about", "orders"))
+    rows = [(i, f"{common} nothing else") for i in range(40)]
+    rows += [(50, "please write Quorvane qv@corp.example about orders"), (51, "please write Mirelda mi@corp.example about orders"),
+             (52, "Mirelda please write mi@corp.example orders"), (53, "Twosome please write tw@corp.example orders"), (54, "Twosome orders")]
+    rows += [(55, rows[40][1])]
+    texts = {r.doc_id: r.text for r in pii.sanitise(documents(spark, rows)).collect()}
+    assert texts[50] == texts[55] == "please write <TERM> <EMAIL> about orders"
+    assert texts[51] == "please write <TERM> <EMAIL> about orders" and texts[52] == "<TERM> please write <EMAIL> orders"
+    assert texts[54] == "Twosome orders" and texts[0] == rows[0][1]
