@@ -178,3 +178,12 @@ def test_values_that_come_once_or_twice_get_terms(spark):
     assert texts[50] == texts[55] == "please write <TERM> <EMAIL> about orders"
     assert texts[51] == "please write <TERM> <EMAIL> about orders" and texts[52] == "<TERM> please write <EMAIL> orders"
     assert texts[54] == "Twosome orders" and texts[0] == rows[0][1]
+
+
+def test_terms_in_glued_tokens(spark):
+    rows = [(i, f"{prose(i, 15)} owner:Zorblax/zor@corp.example {prose(40 + i, 15)}") for i in range(6)]
+    rows += [(50 + i, prose(i, 200)) for i in range(40)]
+    docs = documents(spark, rows)
+    assert {r.term: r.n for r in pii.term_counts(docs).collect()}["zorblax"] == 6
+    texts = [r.text for r in pii.sanitise(docs).collect()]
+    assert not any("Zorblax" in t for t in texts)
