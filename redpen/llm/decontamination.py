@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from redpen.llm.common import keep_table, packed, row_keys
 
 WINDOW, SUBSTITUTIONS = 13, 2
-SHORTEST = 5  # items with fewer tokens are ordinary phrases and are not searched
-TOKEN = re.compile(r"\w+")
+# Scripts written without blanks: Thai to Tibetan, Myanmar, Khmer, Tai, kana, Bopomofo, ideographs and their extensions.
+UNSPACED = (
+    r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u1950-\u19DF\u1A20-\u1AAF\u3005-\u3007\u3021-\u3029\u3031-\u312F"
+    r"\u31A0-\u31BF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uA9E0-\uA9FF\uAA60-\uAADF\uF900-\uFAFF\uFF66-\uFF9F"
+    r"\U0001AFF0-\U0001B16F\U00020000-\U0003FFFF"
+)
+# Every letter of these scripts is a token, other letters and digits are tokens in runs.
+TOKEN = re.compile(rf"(?=[{UNSPACED}])\w|[^\W{UNSPACED}]+")
 FILTER_BITS = 26
 MOST_TOKENS = 1_000_000
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"place {i}") | 1 for i in range(WINDOW)], np.uint64)
@@ -42,7 +48,7 @@ _SEEN = _Tokens()  # one memory per Python worker
 
 
 def token_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the lower-case words of a text."""
+    """Hashes of the lower-case tokens of a text."""
     return np.array([_SEEN[t] for t in TOKEN.findall((text or "").lower())], np.uint64)
 
 
@@ -89,7 +95,7 @@ def benchmark_seeds(benchmark: DataFrame, seeds: list[tuple[int, tuple[int, ...]
 
 
 def short_lengths(benchmark: DataFrame) -> list[int]:
-    """Token counts of the items below a window; at most WINDOW - SHORTEST values."""
+    """Token counts of the items below a window; fewer than WINDOW values."""
 
     def run(batches):
         for batch in batches:
@@ -97,7 +103,7 @@ def short_lengths(benchmark: DataFrame) -> list[int]:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(sizes), pa.int32())], names=["n"])
 
     sizes = benchmark.select(F.col("text").cast("string")).mapInArrow(run, "n int")
-    return [r.n for r in sizes.where((F.col("n") >= SHORTEST) & (F.col("n") < WINDOW)).distinct().collect()]
+    return [r.n for r in sizes.where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().collect()]
 
 
 def membership(seeds: DataFrame) -> np.ndarray:
@@ -118,8 +124,8 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified windows shared by documents and benchmark: _k1, _k2, doc_id, at, length, item_id, substitutions.
 
     Every window of 13 tokens is hashed under six masks, each of which ignores other places. A
-    window counts if an item has a window that agrees up to two substituted tokens; items of 5
-    to 12 tokens must occur whole and unchanged. ``at`` and ``length`` are in tokens.
+    window counts if an item has a window that agrees up to two substituted tokens; items of
+    fewer tokens, however few, must occur whole and unchanged. ``at`` and ``length`` are in tokens.
 
     Document windows meet benchmark windows in a join on the hash. A bit table of fixed size
     leaves out document windows that cannot meet any; no benchmark is too large for it.

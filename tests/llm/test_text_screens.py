@@ -187,3 +187,14 @@ def test_terms_in_glued_tokens(spark):
     assert {r.term: r.n for r in pii.term_counts(docs).collect()}["zorblax"] == 6
     texts = [r.text for r in pii.sanitise(docs).collect()]
     assert not any("Zorblax" in t for t in texts)
+
+
+def test_items_without_blanks_and_short_items(spark):
+    sentence = "この文章は評価のために作られた例文です"
+    items = [sentence, "短い問い", "Mitochondria", "北京是中国的首都，上海是最大的城市", "two tokens", "?!"]
+    rows = [(1, f"前置き{sentence}後書き"), (2, "前置き" + sentence.replace("評", "別").replace("作", "他") + "後"), (3, "これは短い問いですか"),
+            (4, "the mitochondria are"), (5, "我知道北京是中国的首都，上海是最大的城市吗"), (6, "has two, tokens in it"),
+            (7, "この文章は別のものです"), (8, "短くない問い"), (9, "two other tokens"), (10, "?!"), (11, "北京是城市")]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.contaminated(documents(spark, rows), benchmark).collect()}
+    assert got == {1: [0], 2: [0], 3: [1], 4: [2], 5: [3], 6: [4]}
