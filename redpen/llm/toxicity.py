@@ -26,6 +26,18 @@ LOOKALIKES = {
 SHORTEST_PREFIX, LONGEST_PREFIX = 4, 8
 
 
+class _Folding(dict):
+    """The table, and letters outside it by their decomposition in lower case; marks and signs as blanks."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not 0x300 <= ord(c) < 0x370)
+        parts = [self[ord(c)] if ord(c) in self else " " if unicodedata.category(c)[0] in "PSZ" else c
+                 for c in unicodedata.normalize("NFC", plain).casefold()]
+        self[code] = folded = "".join(p for p in parts if p)
+        return folded
+
+
 def _folding() -> dict[int, str | None]:
     table: dict[int, str | None] = {}
     for code in range(0x250):
@@ -40,14 +52,16 @@ def _folding() -> dict[int, str | None]:
         for form in (ch, ch.upper()):
             if len(form) == 1:
                 table[ord(form)] = latin
-    return {code: LOOKALIKES.get(ch, ch) if ch else None for code, ch in table.items()}
+    return _Folding({code: LOOKALIKES.get(ch, ch) if ch else None for code, ch in table.items()})
 
 
 FOLDING = _folding()
 
 
 def fold(text: str | None) -> str:
-    """Lower-case Latin letters without accents, lookalikes and digits read as letters, marks as blanks.
+    """Lower-case letters without accents, lookalikes and digits read as Latin letters, marks as blanks.
+
+    Styled, circled and full-width letters are read as the plain ones, capitals of any script as small.
 
     ``l``, ``1`` and ``i`` are one letter, so every reading of a 1 is found. Blanks at both ends.
     """

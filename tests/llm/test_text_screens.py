@@ -198,3 +198,11 @@ def test_items_without_blanks_and_short_items(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {r.doc_id: r.item_ids for r in decontamination.contaminated(documents(spark, rows), benchmark).collect()}
     assert got == {1: [0], 2: [0], 3: [1], 4: [2], 5: [3], 6: [4]}
+
+
+def test_toxicity_folds_capitals_of_other_scripts_and_styled_letters():
+    for plain, other in (("джщ", "ДЖЩ"), ("σλω", "ΣΛΩ"), ("grulm", "𝐆𝐑𝐔𝐋𝐌"), ("grulm", "ⓖⓡⓤⓛⓜ"), ("\u0439", "\u0418\u0306"), ("漢字 かな", "漢字。かな")):
+        assert toxicity.fold(other) == toxicity.fold(plain)
+    assert toxicity.fold("한글") == " 한글 " and toxicity.fold("straße") == " strabe "
+    automaton = toxicity.Lexicon({" джщ ": 5.0}, (), ()).automaton()
+    assert len(toxicity.matches(toxicity.fold("и ДЖЩ!"), automaton)) == 1
