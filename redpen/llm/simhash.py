@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redpen.llm.common import UPPER, keep_table, packed, row_keys
+from redpen.llm.common import UPPER, keep_table, packed, row_keys, slices
 from redpen.llm.components import components
 from redpen.operators.skew import spread_join
 
@@ -21,6 +21,7 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 FEW, CHUNK = 64, 2048
 PIVOTS = 8
 ROWS = 4096  # shingles whose bits are counted at a time
+FEW_ROWS, FEW_SHINGLES = 128, 256  # rows that become Python objects, and shingles that are mixed, at a time
 # Prints of shingle sets: the least hash under so many orders; bands of them are keys.
 BAND, BANDS = 5, 30
 MIXERS = np.array([xxhash.xxh64_intdigest(f"mixer {i}") | 1 for i in range(BAND * BANDS)], np.uint64)
@@ -199,8 +200,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
 def set_print(shingles: np.ndarray) -> np.ndarray:
     """The least of the distinct shingle hashes under every order; two sets agree in a place as often as they are similar."""
     least = np.full(len(MIXERS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), ROWS):
-        np.minimum(least, ((shingles[at : at + ROWS, None] * MIXERS) ^ SHIFTS).min(0), out=least)
+    for at in range(0, len(shingles), FEW_SHINGLES):
+        np.minimum(least, ((shingles[at : at + FEW_SHINGLES, None] * MIXERS) ^ SHIFTS).min(0), out=least)
     return least
 
 
@@ -208,7 +209,7 @@ def set_prints(documents: DataFrame, shingle: int) -> DataFrame:
     """Row keys, doc_id, and of the distinct shingles: node, the set's digest, size, keys, and marks, a byte per print place."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, FEW_ROWS):
             nodes, sizes, keys, marks = [], [], [], []
             for text in batch.column(3).to_pylist():
                 own = np.unique(shingle_hashes(text, shingle))
@@ -234,7 +235,7 @@ def shingle_sets(documents: DataFrame, chosen: DataFrame, shingle: int) -> DataF
     """node and hashes, the sorted distinct shingle hashes, of the nodes in ``chosen`` (_k1, _k2, node)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, FEW_ROWS):
             sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
@@ -247,7 +248,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     pairs = keep_table(pairs, "pairs")
 
     def verify(batches):
-        for batch in batches:
+        for batch in slices(batches, FEW_ROWS):
             near = []
             for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
