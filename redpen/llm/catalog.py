@@ -3,7 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpen.llm import chat, decontamination, packing, pii, quality, simhash, suffix, toxicity, urls, warc
+from redpen.llm import (
+    chat,
+    chosen_path,
+    decontamination,
+    packing,
+    pii,
+    quality,
+    ranking,
+    simhash,
+    spelling,
+    suffix,
+    toxicity,
+    urls,
+    warc,
+)
 from redpen.llm.common import table
 from redpen.sources.sinks import shared_folder
 
@@ -140,6 +154,77 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent neighbours of all words of all documents."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by sets of two-word shingles."""
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# Pairs that share none of their rarest shingles, a fifth and one more, cannot be similar enough.
+OP12_SQL = rf"""
+WITH RECURSIVE own AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS shingles
+  FROM (SELECT doc_id, regexp_extract_all({LOWERED}, '[^ 	-
+]+') AS ws FROM documents)
+), sets AS (
+  SELECT doc_id, coalesce(shingles, []) AS shingles, coalesce(len(shingles), 0) AS n FROM own
+), each AS (
+  SELECT doc_id, n, unnest(shingles) AS shingle FROM sets
+), rare AS (
+  SELECT doc_id, shingle FROM each JOIN (SELECT shingle, count(*) AS df FROM each GROUP BY shingle) USING (shingle)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, shingle) <= n - ceil(0.8 * n) + 1
+), met AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM rare a JOIN rare b USING (shingle) WHERE a.doc_id < b.doc_id
+), counted AS (
+  SELECT a, b, x.n + y.n AS total, len(list_intersect(x.shingles, y.shingles)) AS common
+  FROM met JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+), links AS (
+  SELECT a, b FROM counted WHERE 100 * common >= 80 * (total - common)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT doc_id, b FROM reached JOIN both_ways ON other = a
+), classes AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN classes USING (doc_id)
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best of all documents for every benchmark item."""
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERMS_SQL = rf"unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+OP13_SQL = f"""
+WITH counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {TERMS_SQL} AS term FROM documents) GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id
+), whole AS (
+  SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS words FROM sizes
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {TERMS_SQL} AS term FROM benchmark) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts SEMI JOIN asked USING (term), whole GROUP BY term, total
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // words)))) AS BIGINT) AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -151,9 +236,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLES = {
     "op5_chat_formatting": OP5_SQL,
     "op6_url_filters": OP6_SQL,
     "op9_warc": OP9_SQL,
+    "op12_minhash_near_dedup": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
