@@ -5,7 +5,7 @@ import importlib
 
 from redpen.catalog.base import Query, wide
 
-MODULES = ["texts", "edits", "service", "reports"]
+MODULES = ["texts", "edits", "service", "reports", "corrections"]
 
 
 def _modules():

@@ -11,7 +11,7 @@ from redpen.functions import patterns as P
 from redpen.functions import text as X
 from redpen.functions.diff import with_edits
 from redpen.operators import suppress
-from redpen.operators.labels import edit_code, label_of
+from redpen.operators.labels import edit_code, label_of, pos_code
 
 PLAIN_DDL = (
     "array<struct<op:string,offset:int,length:int,replacement:string,"
@@ -278,7 +278,12 @@ def with_typed_edits(pairs: DataFrame, fix: bool = True, split: bool = True) ->
 
     Edit fields: ``op, o_start, o_end, o_str, c_str, span_offset, span_length,
     next_token, next_offset, prev_token, prev_offset, code``.
+
+    Pairs may have ``original_readings`` and ``corrected_readings``, one reading per library
+    token of ``original`` and of the cleaned-up correction (see ``labels.pos_code``): they go
+    along with both sides of an edit and make its code more precise.
     """
+    read = {"original_readings", "corrected_readings"} <= set(pairs.columns)
     df = pairs.withColumn("fixed", X.fix_tokenization(F.col("corrected")) if fix else F.col("corrected"))
     # Where the texts agree the tokens stay null: most pairs need no tokens at all.
     df = _with_sides(df, X.lib_pieces, F.col("fixed") != F.col("original"))
@@ -304,16 +309,22 @@ def with_typed_edits(pairs: DataFrame, fix: bool = True, split: bool = True) ->
             old.start(e.i1 - 1).alias("prev_offset"),
             F.slice(old.tok, e.i1 + 1, e.i2 - e.i1).alias("o_tok"),
             F.slice(new.tok, e.j1 + 1, e.j2 - e.j1).alias("c_tok"),
+            *([
+                F.slice("original_readings", e.i1 + 1, e.i2 - e.i1).alias("o_read"),
+                F.slice("corrected_readings", e.j1 + 1, e.j2 - e.j1).alias("c_read"),
+            ] if read else []),
         )
 
     df = df.withColumn("edits", F.transform(F.col("_ops"), described))
-    coded = F.transform(
-        F.col("edits"),
-        lambda e: e.withField("code", edit_code(e.o_str, e.c_str, e.o_tok, e.c_tok)).dropFields(
-            "o_tok", "c_tok"
-        ),
-    )
-    return X.hold(df, {"edits": coded}).drop(*WORK_COLUMNS, "_ops")
+
+    def coded(e: Column) -> Column:
+        code = edit_code(e.o_str, e.c_str, e.o_tok, e.c_tok)
+        if read:
+            return e.withField("code", pos_code(code, e.o_read, e.c_read)).dropFields("o_tok", "c_tok", "o_read", "c_read")
+        return e.withField("code", code).dropFields("o_tok", "c_tok")
+
+    held = X.hold(df, {"edits": F.transform(F.col("edits"), coded)})
+    return held.drop(*WORK_COLUMNS, "_ops", "original_readings", "corrected_readings")
 
 
 def token_span_to_chars(side: Side, start: Column, end: Column) -> tuple[Column, Column]:

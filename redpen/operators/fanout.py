@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redpen.operators.skew import key_counts, spread_join
+from redpen.operators.skew import cut_off, key_counts, spread_join
 from redpen.sources.sinks import shared_folder
 
 
@@ -70,6 +70,48 @@ def reuse(
     return spread_join(requests, known, [text], "left", counts), refilled
 
 
+def keep_latest(cache: DataFrame, capacity: int, used: str = "used", text: str = "text") -> DataFrame:
+    """The ``capacity`` entries used last; entries used at the same time in the order of their text's digest.
+
+    The cut is found by counting, so there is no sort over the table and no window over it: a
+    few passes count entries in ever finer ranges of ``used``, then, only where entries at the
+    cut were used at the same time, of the digest.
+    """
+    digest = F.md5(text)
+    parts = [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 16)]
+    ordered = cache.withColumns({"_o0": -F.col(used), "_o1": parts[0], "_o2": parts[1]})
+    return cut_off(ordered, ["_o0", "_o1", "_o2"], capacity).drop("_o0", "_o1", "_o2")
+
+
+def reuse_bounded(
+    requests: DataFrame,
+    cache: DataFrame,
+    compute: Callable[[DataFrame], DataFrame],
+    capacity: int,
+    asked: str = "asked",
+    used: str = "used",
+    text: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """Reuse with a table that does not grow for ever: (results, cache to keep).
+
+    As :func:`reuse`; ``cache`` also has ``used``, a whole number that says when an entry was
+    used last, and ``requests`` has ``asked`` on the same scale. An entry that is asked for
+    moves up to its last request; then the ``capacity`` entries used last stay. The new cache is
+    written to the shared folder once.
+    """
+    results, refilled = reuse(requests, cache.drop(used), compute, text)
+    latest = requests.groupBy(text).agg(F.max(asked).alias("_asked"))
+    known = cache.select(F.col(text).alias("_known"), F.col(used).alias("_used"))
+    lowest = F.lit(-(1 << 62))
+    dated = refilled.join(latest, text, "left").join(known, F.col(text) == F.col("_known"), "left").withColumn(
+        used, F.greatest(F.coalesce("_asked", lowest), F.coalesce("_used", lowest))
+    ).drop("_asked", "_known", "_used")
+    path = shared_folder(requests.sparkSession, "reuse")
+    dated.write.parquet(path)
+    kept = keep_latest(requests.sparkSession.read.schema(dated.schema).parquet(path), capacity, used, text)
+    return results, kept
+
+
 def align(sentences: DataFrame, results: DataFrame, keys: list[str], column: str = "matches") -> DataFrame:
     """One list per requested sentence, empty where nothing was found."""
     empty = F.array().cast(results.schema[column].dataType)

@@ -52,6 +52,53 @@ def edit_code(o_str: Column, c_str: Column, o_tok: Column, c_tok: Column) -> Col
     return F.concat(operation, F.lit(":"), category.otherwise("OTHER"))
 
 
+READING = "array<struct<pos:string,form:string,lemma:string>>"
+_VERBS, _NOUNS = ("VERB", "AUX"), ("NOUN", "PROPN")
+
+
+def pos_code(code: Column, o_read: Column, c_read: Column) -> Column:
+    """An ``OTHER`` code made more precise by the readings of its tokens; any other code stays.
+
+    A reading is one token's part of speech (VERB, AUX, NOUN, PROPN, ADJ, ADV, ...), form and
+    lemma. Forms are the usual fine tags: VB, VBP, VBZ, VBD, VBG, VBN, NN, NNS, POS, JJ, JJR, JJS.
+    One token for another of the same lemma is a change of form; agreement is VBZ against VB or VBP,
+    tense is VBD against another form. Two parts of speech of one lemma are morphology.
+    Otherwise all tokens of both sides must share their part of speech. Without readings, as
+    where the user has none, the code stays.
+    """
+    one_each = (F.size(o_read) == 1) & (F.size(c_read) == 1)
+    o, c = F.get(o_read, F.lit(0)), F.get(c_read, F.lit(0))
+    same_lemma = one_each & (F.lower(o.lemma) == F.lower(c.lemma))
+
+    def both_of(kinds: tuple[str, ...]) -> Column:
+        return o.pos.isin(*kinds) & c.pos.isin(*kinds)
+
+    def forms(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
+        return (o.form.isin(*a) & c.form.isin(*b)) | (o.form.isin(*b) & c.form.isin(*a))
+
+    changed = ~o.form.eqNullSafe(c.form)
+    formed = (
+        F.when(both_of(_VERBS) & forms(("VBZ",), ("VB", "VBP")), "VERB:SVA")
+        .when(both_of(_VERBS) & changed & ((o.form == "VBD") | (c.form == "VBD")), "VERB:TENSE")
+        .when(both_of(_VERBS) & changed, "VERB:FORM")
+        .when(both_of(_NOUNS) & changed & ((o.form == "POS") | (c.form == "POS")), "NOUN:POSS")
+        .when(both_of(_NOUNS) & changed, "NOUN:NUM")
+        .when(both_of(("ADJ",)) & changed, "ADJ:FORM")
+        .when(o.pos != c.pos, "MORPH")
+    )
+
+    def all_of(kinds: tuple[str, ...]) -> Column:
+        together = F.concat(o_read, c_read)
+        return (F.size(together) > 0) & F.forall(together, lambda r: F.coalesce(r.pos.isin(*kinds), F.lit(False)))
+
+    category = (
+        F.when(same_lemma & formed.isNotNull(), formed)
+        .when(all_of(_VERBS), "VERB").when(all_of(_NOUNS), "NOUN").when(all_of(("ADJ",)), "ADJ").when(all_of(("ADV",)), "ADV")
+    )
+    known = o_read.isNotNull() & c_read.isNotNull() & code.endswith(":OTHER") & category.isNotNull()
+    return F.when(known, F.concat(F.substring(code, 1, 2), category)).otherwise(code)
+
+
 def vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     """How often each lower-cased token occurs. Combined before the shuffle."""
     return tokens.groupBy(F.lower(token).alias("token")).agg(F.count("*").alias("n"))

@@ -1,6 +1,9 @@
 """Reports over run logs: ``run_id, call_id, rule_id, ts, ok, latency_ms``."""
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redpen.operators.skew import running_total, spread_join
@@ -90,6 +93,136 @@ def failure_rates(
     )
 
 
+STATES = "rule_id string, second long, n long, bad long, counted boolean, calls long, failures long, tripped boolean, down_until_ms long"
+
+
+def breaker_states(
+    calls: DataFrame, window_s: int = 60, min_calls: int = 10, threshold: float = 50.0, down_ms: int = 5000
+) -> DataFrame:
+    """The breaker's own state at every rule and second with calls.
+
+    Closed, it counts calls; when at least ``min_calls`` of the last ``window_s`` seconds fail at
+    the rate ``threshold`` it trips, and for ``down_ms`` it is down: calls then are turned away and
+    not counted. After that it is closed again with nothing counted. ``counted`` tells that the
+    second's ``n`` calls went through, ``calls`` and ``failures`` what the window then holds,
+    ``tripped`` that it trips there, ``down_until_ms`` until when it is down.
+
+    A state depends on what came before, but a pause as long as the window and the down time
+    wipes it out. So a rule is cut at its pauses, found by counting over time slices, and each
+    stretch is walked alone, in order, with one window in memory. Calls are counted per second
+    first, so a stretch without a pause has a row per second at most. A null rule is a rule;
+    calls without a time are left out; a null ``ok`` is no failure.
+    """
+    pause = max(window_s, -(-down_ms // 1000)) + 1
+    counts = calls.where(F.col("ts").isNotNull()).groupBy(
+        "rule_id", F.floor(F.unix_micros("ts") / 1_000_000).alias("second")
+    ).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"))
+    counts = counts.withColumn("slice", F.floor(F.col("second") / pause))
+    slices = counts.groupBy("rule_id", "slice").agg(F.lit(1).alias("one"))
+    # A slice without calls is at least a pause: the slice after it starts a stretch.
+    before = slices.select(F.col("rule_id").alias("_rule"), (F.col("slice") + 1).alias("_next"), F.lit(0).alias("new"))
+    met = slices.join(before, F.col("rule_id").eqNullSafe(F.col("_rule")) & (F.col("slice") == F.col("_next")), "left")
+    marked = met.select(
+        "rule_id", "slice", F.coalesce("new", F.lit(1)).alias("new"), F.floor(F.col("slice") / 4096).alias("block")
+    )
+    stretches = running_total(marked, ["rule_id"], ["block"], "slice", "new", "stretch").select("rule_id", "slice", "stretch")
+    rows = spread_join(counts, stretches, ["rule_id", "slice"]).select("rule_id", "stretch", "second", "n", "bad")
+    dealt = rows.repartition("rule_id", "stretch").sortWithinPartitions("rule_id", "stretch", "second")
+
+    def walk(batches):
+        at, window, down = None, deque(), None
+        for batch in batches:
+            out = []
+            for rule, stretch, second, n, bad in batch.itertuples(index=False, name=None):
+                if at != (rule, stretch):
+                    at, window, down, held, failed = (rule, stretch), deque(), None, 0, 0
+                counted = down is None or second * 1000 >= down
+                tripped = False
+                if counted:
+                    down = None
+                    window.append((second, n, bad))
+                    held, failed = held + n, failed + bad
+                    while window[0][0] <= second - window_s:
+                        _, n_gone, bad_gone = window.popleft()
+                        held, failed = held - n_gone, failed - bad_gone
+                    tripped = held >= min_calls and failed * 100.0 / held >= threshold
+                calls_now, failed_now = (held, failed) if counted else (0, 0)
+                if tripped:
+                    down, held, failed = second * 1000 + down_ms, 0, 0
+                    window.clear()
+                out.append((rule, second, n, bad, counted, calls_now, failed_now, tripped, down))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
+            yield frame.astype({"down_until_ms": "Int64"})
+
+    return dealt.mapInPandas(walk, STATES)
+
+
+def error_profile(matches: DataFrame, by: list[str]) -> DataFrame:
+    """Counts over every combination of the columns ``by`` and their subtotals: the columns, ``total_<column>``, n.
+
+    ``total_<column>`` tells that a row sums over the column, so a subtotal is never taken for
+    rows whose value is null. Rows are counted per full combination first, so a value that
+    holds most rows costs one row per task, and the subtotals are made of those counts alone.
+    """
+    counts = matches.groupBy(*by).agg(F.count("*").alias("n"))
+    return counts.cube(*by).agg(
+        *[(F.grouping(c) == 1).alias(f"total_{c}") for c in by], F.sum("n").alias("n")
+    )
+
+
+def agreement_masks(matches: DataFrame, column: str = "matches") -> DataFrame:
+    """How often each set of correctors gave the same match: mask (a bit per corrector), n.
+
+    A match is what merging takes for the same: offset, length and replacement. The set is made
+    in the row by one sort, so neither matches nor pairs of them become rows before they are counted.
+    """
+    keyed = F.transform(
+        F.coalesce(F.col(column), F.array().cast(matches.schema[column].dataType)),
+        lambda m: F.struct(F.struct(m.offset, m.length, m.replacement).alias("key"), m.corrector_idx.alias("c")),
+    )
+    ordered = matches.select(F.array_sort(keyed).alias("_s"))
+    first = F.filter(
+        F.sequence(F.lit(0), F.size("_s")),
+        lambda i: (i == 0) | (i == F.size("_s")) | ~F.get("_s", i).key.eqNullSafe(F.get("_s", i - 1).key),
+    )
+    ranged = ordered.where(F.size("_s") > 0).withColumn("_f", first)
+
+    def mask(i: Column) -> Column:
+        own = F.slice("_s", F.get("_f", i) + 1, F.get("_f", i + 1) - F.get("_f", i))
+        bit = F.lit(1).cast("long")
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", bit, x.c.cast("int"))))
+
+    masks = F.transform(F.sequence(F.lit(0), F.size("_f") - 2), mask)
+    return ranged.select(F.explode(masks).alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
+
+
+def corrector_agreement(matches: DataFrame, correctors: int, column: str = "matches") -> DataFrame:
+    """Corrector by corrector: a, b, both (matches that both gave), n_a, n_b, expected, agreement.
+
+    ``expected`` is what two correctors of these sizes would share by chance, ``agreement`` the
+    share of either's matches that both gave. With ``a`` equal to ``b``, ``both`` is how many that
+    corrector gave. At most 62 correctors: the counted sets are the only rows.
+    """
+    if correctors > 62:
+        raise ValueError("a set of correctors is a 64-bit number: 62 correctors at most")
+    masks = agreement_masks(matches, column)
+    pairs = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in range(correctors) for j in range(correctors)])
+    each = masks.select("n", "mask", F.inline(pairs))
+
+    def has(c: str) -> Column:
+        return F.call_function("shiftright", F.col("mask"), F.col(c)).bitwiseAND(F.lit(1)) == 1
+
+    summed = each.groupBy("a", "b").agg(
+        F.coalesce(F.sum(F.when(has("a") & has("b"), F.col("n"))), F.lit(0)).alias("both"),
+        F.coalesce(F.sum(F.when(has("a"), F.col("n"))), F.lit(0)).alias("n_a"),
+        F.coalesce(F.sum(F.when(has("b"), F.col("n"))), F.lit(0)).alias("n_b"), F.sum("n").alias("_all"),
+    )
+    return summed.select(
+        "a", "b", "both", "n_a", "n_b", F.try_divide(F.col("n_a") * F.col("n_b"), "_all").alias("expected"),
+        F.try_divide("both", F.col("n_a") + F.col("n_b") - F.col("both")).alias("agreement"),
+    )
+
+
 def latency_percentiles(
     calls: DataFrame, points: list[float], value: str = "latency_ms", key: str = "rule_id",
     accuracy: int = 1000,
