@@ -1,7 +1,8 @@
 """Near duplicates by chosen paths: documents branch by minwise values until few are left together."""
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from redpen.llm.components import components
 from redpen.operators.skew import spread_join
 
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
+# Whether pairs of rows (a, b) of sketches and set sizes may be similar enough.
+Alike = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 PLACES = 128  # minwise values of a set; all may be chosen, and all are the sketch
 MIXERS = np.array([xxhash.xxh64_intdigest(f"path mixer {i}") | 1 for i in range(PLACES)], np.uint64)
 SHIFTS = np.array([xxhash.xxh64_intdigest(f"path shift {i}") for i in range(PLACES)], np.uint64)
@@ -187,7 +190,7 @@ def alike(bits: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, sim
     return near
 
 
-def small_candidates(small: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def small_candidates(small: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
     """Pairs a, b that join all sets whose sketches are alike in a small node, as few as it takes.
 
     Members of a node lie beside each other after the sort; all nodes of a batch are compared at once.
@@ -195,13 +198,13 @@ def small_candidates(small: DataFrame, nodes: DataFrame, similarity: float) -> D
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         keys, sizes = table["key"].to_numpy(), table["size"].to_numpy()
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(keys), PLACES)
+        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(keys), -1)
         ones, twos = [], []
         for gap in range(1, FEW):
             a = np.flatnonzero(keys[gap:] == keys[:-gap])
             if not len(a):
                 break
-            near = alike(bits, sizes, a, a + gap, similarity)
+            near = alike(bits, sizes, a, a + gap)
             ones.append(a[near])
             twos.append(a[near] + gap)
         groups = _Groups()
@@ -231,7 +234,7 @@ def small_candidates(small: DataFrame, nodes: DataFrame, similarity: float) -> D
     return met.select("key", "node", "size", "sketch").mapInArrow(run, "a binary, b binary")
 
 
-def in_squares(members: DataFrame, keys: list[str], parts: Column) -> DataFrame:
+def in_squares(members: DataFrame, parts: Column) -> DataFrame:
     """Every member once for each pair i, j of the parts of its group that its own part, by hash, is in."""
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     met = members.withColumn("_own", own).withColumn("_met", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -255,29 +258,29 @@ def spanning(count: int, linked) -> list[tuple[int, int]]:
     return found
 
 
-def dense_candidates(dense: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def dense_candidates(dense: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
     """Pairs a, b that join all sets whose sketches are alike in a dense node, by squares of parts of it."""
     parts = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
-    met = in_squares(dense, ["key"], parts).join(nodes.select("node", "size", "sketch"), "node")
+    met = in_squares(dense, parts).join(nodes.select("node", "size", "sketch"), "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         names, sizes = group.node.to_numpy(), group["size"].to_numpy()
-        bits = np.frombuffer(b"".join(group.sketch), np.uint8).reshape(len(group), PLACES)
+        bits = np.frombuffer(b"".join(group.sketch), np.uint8).reshape(len(group), -1)
 
         def linked(i, rest):
-            return alike(bits, sizes, np.full(len(rest), i), rest, similarity)
+            return alike(bits, sizes, np.full(len(rest), i), rest)
 
         return pd.DataFrame([(names[i], names[j]) for i, j in spanning(len(group), linked)], columns=["a", "b"], dtype="object")
 
     return met.select("key", "i", "j", "node", "size", "sketch").groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
-def sets_of(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """root, node and hashes, the sorted shingle hashes, of the rows in ``chosen`` (_k1, _k2, node, root, bytes)."""
+def sets_of(documents: DataFrame, chosen: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> DataFrame:
+    """root, node, parts and hashes, the sorted shingle hashes, of the rows in ``chosen`` (_k1, _k2, node, root, parts)."""
 
     def run(batches):
         for batch in slices(batches, FEW_ROWS):
-            sets = [shingle_set(t).tobytes() for t in batch.column(3).to_pylist()]
+            sets = [shingles(t).tobytes() for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(3)], pa.array(sets, pa.binary())], names=["root", "node", "parts", "hashes"]
             )
@@ -312,10 +315,25 @@ def confirmed(sets: DataFrame, similarity: float) -> DataFrame:
 
         return pd.DataFrame([(names[i], names[j]) for i, j in spanning(len(own), linked)], columns=["a", "b"], dtype="object")
 
-    squares = in_squares(sets, ["root"], F.col("parts")).select("root", "i", "j", "node", "hashes")
+    squares = in_squares(sets, F.col("parts")).select("root", "i", "j", "node", "hashes")
     return squares.groupBy("root", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
+def exact_links(
+    documents: DataFrame, nodes: DataFrame, candidates: DataFrame, shingles: Callable[[str | None], np.ndarray], similarity: float
+) -> DataFrame:
+    """node and root of all nodes that links join; candidates only propose, the sets decide.
+
+    ``candidates`` (a, b) join all pairs that may be similar. Their components are compared
+    set by set, each set once for every part its cluster has, so no pair is ever a row.
+    """
+    clusters = keep_table(components(candidates), "clusters")
+    sized = clusters.join(nodes.select("node", "size", "row"), "node")
+    bytes_ = sized.groupBy("root").agg(F.ceil(8 * F.sum("size") / F.lit(CHUNK_BYTES)).cast("int").alias("parts"))
+    chosen = spread_join(sized.select("root", "node", "row"), bytes_, ["root"]).select("root", "node", "parts", "row.*")
+    return components(confirmed(keep_table(sets_of(documents, chosen, shingles), "sets"), similarity))
+
+
 def near_duplicates(documents: DataFrame, similarity: float = 0.8, recall: float = 0.99999) -> DataFrame:
     """Class of every document by the similarity of its set of two-word shingles: doc_id, n_shingles, component_id, kept.
 
@@ -337,12 +355,9 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, recall: float
     )
     nodes = keep_table(nodes, "nodes")
     small, dense = grow(nodes, trees_for(recall, similarity))
-    candidates = small_candidates(small, nodes, similarity).union(dense_candidates(dense, nodes, similarity))
-    clusters = keep_table(components(candidates), "clusters")
-    sized = clusters.join(nodes.select("node", "size", "row"), "node")
-    bytes_ = sized.groupBy("root").agg(F.ceil(8 * F.sum("size") / F.lit(CHUNK_BYTES)).cast("int").alias("parts"))
-    chosen = spread_join(sized.select("root", "node", "row"), bytes_, ["root"]).select("root", "node", "parts", "row.*")
-    linked = components(confirmed(keep_table(sets_of(documents, chosen), "sets"), similarity))
+    near = functools.partial(alike, similarity=similarity)
+    candidates = small_candidates(small, nodes, near).union(dense_candidates(dense, nodes, near))
+    linked = exact_links(documents, nodes, candidates, shingle_set, similarity)
 
     ids = rows.groupBy("node", "size").agg(F.min("doc_id").alias("least"))
     classed = ids.where("size > 0").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
