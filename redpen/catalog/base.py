@@ -81,14 +81,14 @@ def sql_lib_tokens(text: str) -> str:
 
 def sql_token_rows(name: str, source: str, text: str, token: str, keys: str = "doc_id, sent_idx") -> str:
     """CTE ``name``: one row per token of ``source`` with pos, token, start and the token count n."""
+    # Each text is searched twice, for tokens and for tokens with the blanks before them, whatever is asked of it.
     return f"""{name} AS MATERIALIZED (
       SELECT {keys}, pos, token, n,
              CAST(sum(length(piece)) OVER (PARTITION BY {keys} ORDER BY pos) AS BIGINT) - length(token) AS start
-      FROM (SELECT {keys}, unnest(range(len(regexp_extract_all({text}, '{token}')))) AS pos,
-                   len(regexp_extract_all({text}, '{token}')) AS n,
-                   unnest(regexp_extract_all({text}, '{token}')) AS token,
-                   unnest(regexp_extract_all({text}, '{P.WS}*{token}')) AS piece
-            FROM {source}))"""
+      FROM (SELECT {keys}, n, unnest(range(n)) AS pos, unnest(tokens) AS token, unnest(pieces) AS piece
+            FROM (SELECT {keys}, tokens, pieces, len(tokens) AS n
+                  FROM (SELECT {keys}, regexp_extract_all({text}, '{token}') AS tokens,
+                               regexp_extract_all({text}, '{P.WS}*{token}') AS pieces FROM {source}))))"""
 
 
 def sql_fix(text: str) -> str:

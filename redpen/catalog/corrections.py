@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from redpen.catalog.base import SENTS, clean, documents, r6, sentences, table
-from redpen.catalog.edits import _CODE, _HUNK, _KNOWN, _LABELS, _coded, _pairs
+from redpen.catalog.base import CLEAN, SENTS, clean, documents, r6, sentences, sql_fix, sql_spaced, sql_ws_tokens, table
+from redpen.catalog.edits import _CODE, _KNOWN, _LABELS, _coded, _pairs
 from redpen.catalog.flags import FLAGS, WORDS, flagged, flagged_rows
 from redpen.catalog.service import _CORRECTED, _rewritten, calls
 from redpen.functions import text as X
-from redpen.functions.diff import with_hunk
 from redpen.operators import apply, fanout, labels, runs
 from redpen.operators import edits as E
 from redpen.sources import sinks, streams
@@ -17,11 +16,9 @@ IDS = ["doc_id", "sent_idx"]
 
 
 def e1_apply(spark, sf):
-    """Single-hunk pairs: their matches put into the damaged sentence give the corrected tokens."""
-    routed = with_hunk(E.with_plain_tokens(_pairs(spark, sf)), "a_tok", "b_tok").where(F.col("_route") == "hunk")
-    df = E.with_plain_matches(routed.select(*IDS, "kind", "original", "corrected"))
-    df = apply.apply_matches(df, "original")
-    return df.select(*IDS, "kind", F.md5(F.array_join(X.ws_tokens(F.col("applied")), " ")).alias("digest"), "n_applied")
+    """Damaged sentences: their matches put in give the corrected tokens."""
+    df = apply.apply_matches(E.with_plain_matches(_pairs(spark, sf)), "original")
+    return df.select(*IDS, "kind", F.md5(F.array_join(X.ws_tokens(F.col("applied")), " ")).alias("digest"))
 
 
 def e1_overlaps(spark, sf):
@@ -172,9 +169,10 @@ _POS_CODE = f"""CASE WHEN NOT ends_with(code, ':OTHER') THEN code ELSE substr(co
   ELSE 'OTHER' END END"""
 
 ORACLES = {
-    "e1_apply": f"""WITH {_HUNK} SELECT doc_id, sent_idx, kind,
-      md5(CASE WHEN na = 0 THEN '' ELSE array_to_string(b, ' ') END) AS digest, CASE WHEN na = 0 THEN 0 ELSE 1 END::BIGINT AS n_applied
-      FROM routed WHERE route = 'hunk'""",
+    # A sentence whose only token was dropped has nothing left that a match could stand on.
+    "e1_apply": f"""WITH {CLEAN}, fixed AS (SELECT doc_id, sent_idx, n, md5(array_to_string({sql_ws_tokens(sql_fix(sql_spaced('clean')))}, ' ')) AS digest FROM clean),
+      kinds AS (SELECT *, unnest(['substituted', 'dropped', 'inserted']) AS kind FROM fixed)
+      SELECT doc_id, sent_idx, kind, CASE WHEN kind = 'dropped' AND n = 1 THEN md5('') ELSE digest END AS digest FROM kinds""",
     # Flags of one sentence are whole tokens: of those on one token the first corrector's goes in.
     "e1_overlaps": f"""WITH {SENTS}, {FLAGS}, firsts AS (SELECT * FROM flags QUALIFY row_number() OVER
         (PARTITION BY doc_id, sent_idx, "offset" ORDER BY corrector_idx) = 1),

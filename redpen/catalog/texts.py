@@ -208,10 +208,13 @@ ORACLES = {
       SELECT doc_id, sent_idx, corrector_idx, CAST("offset" + sent_start AS BIGINT) AS "offset", length
       FROM flags JOIN st USING (doc_id, sent_idx)""",
     "p10_emoji": f"WITH {SENTS} SELECT doc_id, sent_idx, md5({sql_emoji(chr(40) + 'text || ' + chr(39) + ' 😀' + chr(0x200d) + '👍  x' + chr(39) + chr(41))}) AS digest FROM sents",
-    "p11_span_text": f"""WITH {SENTS}, {FLAGS} SELECT f.doc_id, f.sent_idx, corrector_idx, "offset",
+    "p11_span_text": f"""WITH {SENTS}, {FLAGS}, told AS MATERIALIZED (
+        SELECT doc_id, sent_idx, text, regexp_matches(text, '[\\x{{10000}}-\\x{{10FFFF}}]') AS astral FROM sents)
+      SELECT f.doc_id, f.sent_idx, corrector_idx, "offset",
       substring(text, CAST("offset" + 1 AS BIGINT), length) AS span,
-      "offset" + length(regexp_replace(substring(text, 1, CAST("offset" AS BIGINT)), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS offset_utf16
-      FROM flags f JOIN sents USING (doc_id, sent_idx)""",
+      "offset" + CASE WHEN astral THEN length(regexp_replace(substring(text, 1, CAST("offset" AS BIGINT)), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))
+        ELSE 0 END AS offset_utf16
+      FROM flags f JOIN told USING (doc_id, sent_idx)""",
     "p12_code_names": f"""WITH {SENTS}, {FLAGS} SELECT {_names('corrector_idx', P.MATCH_TYPES)} AS match_type,
       {_names('corrector_idx', P.SUGGESTION_TYPES)} AS suggestion_type,
       {_names('(match_idx % 10)', P.STYLE_TAGS)} AS tag, count(*) AS n FROM flags GROUP BY ALL""",
