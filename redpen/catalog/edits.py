@@ -14,17 +14,12 @@ from redpen.operators import labels, project, suppress
 from redpen.plans import damage
 
 IDS = ["doc_id", "sent_idx"]
-DAMAGES = {"substituted": damage.substituted, "dropped": damage.dropped, "inserted": damage.inserted}
+DAMAGES = ["substituted", "dropped", "inserted"]
 
 
-def _pairs(spark, sf):
-    """All three single-hunk damages, with tokens of both sides."""
-    base = clean(spark, sf)
-    parts = [f(base).withColumn("kind", F.lit(name)) for name, f in DAMAGES.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _pairs(spark, sf, more=()):
+    """All three single-hunk damages, and more if asked for."""
+    return damage.damaged(clean(spark, sf), [*DAMAGES, *more])
 
 
 def d1_native_edits(spark, sf):
@@ -43,12 +38,7 @@ def d1_routes(spark, sf):
 
 def d1_all_edits(spark, sf):
     """Every pair, several hunks and the Python branch included: the corrected tokens rebuilt from the edits."""
-    base = clean(spark, sf)
-    more = {"doubled": damage.doubled, "thinned": damage.thinned}
-    df = _pairs(spark, sf)
-    for name, f in more.items():
-        df = df.unionByName(f(base).withColumn("kind", F.lit(name)))
-    df = E.with_plain_edits(df)
+    df = E.with_plain_edits(_pairs(spark, sf, ["doubled", "thinned"]))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
 
     def take(acc, e):

@@ -4,6 +4,8 @@ Everything happens inside the row: no shuffle, whatever the number of rows per
 document. Only the last step explodes to one row per match.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -273,11 +275,8 @@ def split_hunks(a_tok: Column, b_tok: Column, edits: Column) -> Column:
     )
 
 
-def with_typed_edits(pairs: DataFrame, fix: bool = True, split: bool = True) -> DataFrame:
-    """Add ``n_tokens`` and ``edits``: spans, both texts, neighbours and the edit code.
-
-    Edit fields: ``op, o_start, o_end, o_str, c_str, span_offset, span_length,
-    next_token, next_offset, prev_token, prev_offset, code``.
+def _with_described_edits(pairs: DataFrame, fix: bool, split: bool) -> DataFrame:
+    """Add ``n_tokens`` and ``edits`` without codes, but with the tokens and readings that give them.
 
     Pairs may have ``original_readings`` and ``corrected_readings``, one reading per library
     token of ``original`` and of the cleaned-up correction (see ``labels.pos_code``): they go
@@ -315,16 +314,30 @@ def with_typed_edits(pairs: DataFrame, fix: bool = True, split: bool = True) ->
             ] if read else []),
         )
 
-    df = df.withColumn("edits", F.transform(F.col("_ops"), described))
+    held = X.hold(df, {"edits": F.transform(F.col("_ops"), described)})
+    return held.drop(*WORK_COLUMNS, "_ops", "original_readings", "corrected_readings")
+
 
-    def coded(e: Column) -> Column:
-        code = edit_code(e.o_str, e.c_str, e.o_tok, e.c_tok)
-        if read:
-            return e.withField("code", pos_code(code, e.o_read, e.c_read)).dropFields("o_tok", "c_tok", "o_read", "c_read")
-        return e.withField("code", code).dropFields("o_tok", "c_tok")
+def _code(e: Column, read: bool) -> Column:
+    code = edit_code(e.o_str, e.c_str, e.o_tok, e.c_tok)
+    return pos_code(code, e.o_read, e.c_read) if read else code
 
-    held = X.hold(df, {"edits": F.transform(F.col("edits"), coded)})
-    return held.drop(*WORK_COLUMNS, "_ops", "original_readings", "corrected_readings")
+
+def _has_readings(df: DataFrame) -> bool:
+    return "o_read" in df.schema["edits"].dataType.elementType.fieldNames()
+
+
+def with_typed_edits(pairs: DataFrame, fix: bool = True, split: bool = True) -> DataFrame:
+    """Add ``n_tokens`` and ``edits``: spans, both texts, neighbours and the edit code.
+
+    Edit fields: ``op, o_start, o_end, o_str, c_str, span_offset, span_length,
+    next_token, next_offset, prev_token, prev_offset, code``.
+    """
+    df = _with_described_edits(pairs, fix, split)
+    read = _has_readings(df)
+    used = ["o_tok", "c_tok", *(["o_read", "c_read"] if read else [])]
+    coded = F.transform(F.col("edits"), lambda e: e.withField("code", _code(e, read)).dropFields(*used))
+    return X.hold(df, {"edits": coded})
 
 
 def token_span_to_chars(side: Side, start: Column, end: Column) -> tuple[Column, Column]:
@@ -361,12 +374,13 @@ def anchor_insertion(e: Column) -> Column:
 
 
 def typed_match_array(
-    original: Column, n_tokens: Column, edits: Column, rule_id: Column, min_length: int = 1
+    original: Column, n_tokens: Column, edits: Column, rule_id: Column, min_length: int = 1,
+    code: Callable[[Column], Column] = lambda e: e.code,
 ) -> Column:
-    """Edits to match structs: suppression, anchoring, constraints, labels."""
+    """Edits to match structs: suppression, anchoring, constraints, labels. Only edits that stay get a code."""
     kept = F.filter(edits, lambda e: suppress.reason(e, n_tokens, original).isNull())
     anchored = F.transform(
-        kept, lambda e: F.struct(anchor_insertion(e).alias("m"), e.code.alias("code"))
+        kept, lambda e: F.struct(anchor_insertion(e).alias("m"), code(e).alias("code"))
     )
     valid = F.filter(
         anchored,
@@ -393,9 +407,10 @@ def with_typed_matches(
     split: bool = True,
 ) -> DataFrame:
     """Add ``matches``, the array of typed matches of each pair."""
-    df = with_typed_edits(pairs, fix, split)
+    df = _with_described_edits(pairs, fix, split)
+    read = _has_readings(df)
     matches = typed_match_array(
-        F.col("original"), F.col("n_tokens"), F.col("edits"), F.lit(rule_id), min_length
+        F.col("original"), F.col("n_tokens"), F.col("edits"), F.lit(rule_id), min_length, lambda e: _code(e, read)
     )
     return X.hold(df, {"matches": matches}).drop("edits", "n_tokens")
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpen.operators.skew import cut_off, key_counts, spread_join
@@ -15,18 +15,38 @@ def fan_out(sentences: DataFrame, rule_ids: list[str]) -> DataFrame:
     return sentences.select("*", F.posexplode(each).alias("corrector_idx", "rule_id"))
 
 
+KEY = "_text_key"
+
+
+def text_key(text: str) -> Column:
+    """128 bits that stand for a text, so that no text of any length is a shuffle, join or broadcast key."""
+    return F.unhex(F.md5(text))
+
+
+def _asked(rows: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their key, and the distinct texts with key and count."""
+    keyed = rows.withColumn(KEY, text_key(text))
+    return keyed, key_counts(keyed, [KEY, text])
+
+
+def _joined(keyed: DataFrame, known: DataFrame, counts: DataFrame, text: str) -> DataFrame:
+    """Rows with what is known of their text; very frequent texts are spread over several tasks."""
+    right = known.withColumn(KEY, text_key(text)).drop(text)
+    out = spread_join(keyed, right, [KEY], "left", counts.select(KEY, "_rows")).drop(KEY)
+    return out.select(text, *[c for c in out.columns if c != text])
+
+
 def once_per_text(
     sentences: DataFrame, compute: Callable[[DataFrame], DataFrame], text: str = "text"
 ) -> DataFrame:
     """Run ``compute`` on the distinct texts only and join the result back.
 
     ``compute`` takes a table with the text column and adds columns. Copies of a
-    text are counted before the shuffle; very frequent texts are spread over
-    several tasks on the way back.
+    text are counted before the shuffle; results are joined back by the key of the text, and
+    very frequent texts are spread over several tasks on the way back.
     """
-    counts = key_counts(sentences, [text])
-    computed = compute(counts.select(text))
-    return spread_join(sentences, computed, [text], "left", counts)
+    keyed, counts = _asked(sentences, text)
+    return _joined(keyed, compute(counts.select(text)), counts, text)
 
 
 def successful_only(results: DataFrame, ok: str = "ok") -> DataFrame:
@@ -58,16 +78,16 @@ def reuse(
     ``cache`` has one row per text. Hits and misses are decided on distinct texts,
     so copies of a text never meet in one task before the final, spread join.
     """
-    counts = key_counts(requests, [text])
-    asked = counts.select(text)
-    hits = cache.join(asked, text, "left_semi").withColumn("hit", F.lit(True))
-    misses = compute(asked.join(cache, text, "left_anti"))
+    keyed, counts = _asked(requests, text)
+    asked, stored = counts.select(KEY, text), cache.withColumn(KEY, text_key(text))
+    hits = stored.join(asked.select(KEY), KEY, "left_semi").drop(KEY).withColumn("hit", F.lit(True))
+    misses = compute(asked.join(stored.select(KEY), KEY, "left_anti").select(text))
     path = shared_folder(requests.sparkSession, "misses")
     misses.write.parquet(path)
     computed = requests.sparkSession.read.schema(misses.schema).parquet(path)
     known = hits.unionByName(computed.withColumn("hit", F.lit(False)))
     refilled = cache.unionByName(computed)
-    return spread_join(requests, known, [text], "left", counts), refilled
+    return _joined(keyed, known, counts, text), refilled
 
 
 def keep_latest(cache: DataFrame, capacity: int, used: str = "used", text: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ spaced the way a generation model spaces it; ``original`` is the clean sentence
 with one damage.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,53 +31,41 @@ def spaced(text: Column) -> Column:
     return F.regexp_replace(text, r"(\p{L})([.,?!;:])", "$1 $2")
 
 
-def _with_original(df: DataFrame, tokens: Column) -> DataFrame:
-    return df.select(
-        "doc_id", "sent_idx", F.array_join(tokens, " ").alias("original"),
-        spaced(F.col("clean")).alias("corrected"),
-    )
+def _reversed(t: Column, i: Column) -> Column:
+    return F.when(i == F.col("k"), F.reverse(t)).otherwise(t)
 
 
-def substituted(df: DataFrame) -> DataFrame:
-    """Token ``k`` reversed."""
-    return _with_original(
-        df, F.transform("tok", lambda t, i: F.when(i == F.col("k"), F.reverse(t)).otherwise(t))
+def _before(new: Callable[[Column], Column]) -> Column:
+    """All tokens, with one more before token ``k``."""
+    return F.flatten(
+        F.transform("tok", lambda t, i: F.when(i == F.col("k"), F.array(new(t), t)).otherwise(F.array(t)))
     )
 
 
-def dropped(df: DataFrame) -> DataFrame:
-    """Token ``k`` missing."""
-    return _with_original(df, F.filter("tok", lambda t, i: i != F.col("k")))
+# The damaged tokens of each kind: token ``k`` reversed, missing, after a foreign one, twice;
+# every eleventh token missing, which makes several hunks.
+DAMAGED: dict[str, Callable[[], Column]] = {
+    "substituted": lambda: F.transform("tok", _reversed),
+    "dropped": lambda: F.filter("tok", lambda t, i: i != F.col("k")),
+    "inserted": lambda: _before(lambda t: F.lit("zzq")),
+    "doubled": lambda: _before(lambda t: t),
+    "thinned": lambda: F.filter("tok", lambda t, i: (F.col("doc_id") * 31 + F.col("sent_idx") * 7 + i) % 11 != 0),
+}
 
 
-def inserted(df: DataFrame) -> DataFrame:
-    """A foreign token before token ``k``."""
-    return _with_original(
-        df,
-        F.flatten(
-            F.transform(
-                "tok", lambda t, i: F.when(i == F.col("k"), F.array(F.lit("zzq"), t)).otherwise(F.array(t))
-            )
-        ),
-    )
+def damaged(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """One row per sentence and kind of damage, from one pass: kind, original, corrected."""
+    each = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.array_join(DAMAGED[k](), " ").alias("original")) for k in kinds
+    ])
+    return df.select("doc_id", "sent_idx", spaced(F.col("clean")).alias("corrected"), F.inline_outer(each))
 
 
-def doubled(df: DataFrame) -> DataFrame:
-    """Token ``k`` twice."""
-    return _with_original(
-        df,
-        F.flatten(
-            F.transform("tok", lambda t, i: F.when(i == F.col("k"), F.array(t, t)).otherwise(F.array(t)))
-        ),
-    )
+def _of(kind: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: damaged(df, [kind]).select("doc_id", "sent_idx", "original", "corrected")
 
 
-def thinned(df: DataFrame) -> DataFrame:
-    """Every eleventh token missing: several hunks."""
-    return _with_original(
-        df,
-        F.filter("tok", lambda t, i: (F.col("doc_id") * 31 + F.col("sent_idx") * 7 + i) % 11 != 0),
-    )
+substituted, dropped, inserted, doubled, thinned = map(_of, DAMAGED)
 
 
 def edges(df: DataFrame, wanted: list[str] | None = None) -> DataFrame:
