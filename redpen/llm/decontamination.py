@@ -180,7 +180,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without those that hold a benchmark passage. All columns stay, whatever their names."""
+    """``documents`` without those that hold a benchmark passage. All columns stay, whatever their names.
+
+    Null and empty texts and items share nothing; repeated rows go or stay together, and a null
+    doc_id is a row like any other; very long texts are searched whole; empty tables give what
+    is left of ``documents``.
+    """
     bad = find_overlaps(documents, benchmark).select("_k1", "_k2").distinct()
     return packed(documents).join(bad, ["_k1", "_k2"], "left_anti").select(
         *[F.col(f"_row.`{c}`").alias(c) for c in documents.columns]

@@ -306,7 +306,11 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.
 
 
 def drop_toxic(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
-    """``documents`` without those that score at the threshold or above. All columns stay."""
+    """``documents`` without those that score at the threshold or above. All columns stay, whatever their names.
+
+    Null and empty texts get the score of a text without words, repeated rows the same one; very
+    long texts are scored whole; an empty table stays empty.
+    """
     beta = np.array(lexicon.model)
 
     @F.pandas_udf("boolean")
