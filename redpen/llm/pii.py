@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpen.functions.text import hold, let, running_sums
-from redpen.llm.common import SPACE, keep_table, packed, row_keys
+from redpen.llm.common import keep_table, packed, row_keys
+from redpen.operators.skew import spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -26,7 +27,12 @@ NEXT = 40  # characters on each side by which contexts are told apart
 HINTS = {"email": "@", "phone": "+", "ip": ".", "card": ""}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # Words of letters that are no part of an address or number.
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}(?![\p{L}\p{N}@_%+-]|\.[\p{L}\p{N}])"
+TERM = (
+    r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}(?![\p{L}\p{N}@_%+-]|\.[\p{L}\p{N}])"
+    rf"(?!{LOCAL}*+@[A-Za-z0-9-]++\.[A-Za-z0-9-])"
+)
+FILTER_WORDS = 1 << 14  # 64-bit words of the filter that drops most terms nobody asks for before a shuffle
+BROADCAST_BYTES = 32 << 20  # spans of up to so many bytes are sent to every task instead of moving the texts
 
 
 @dataclass(frozen=True)
@@ -127,13 +133,41 @@ def _words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
 
 
-def term_counts(documents: DataFrame) -> DataFrame:
-    """Occurrences of every term in all documents, and the rows that have it: term, n, rows."""
+def _slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(64 * FILTER_WORDS)).cast("int")
+
+
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)))
+
+
+def asked_terms(terms: DataFrame) -> DataFrame:
+    """One row, ``bits``: an array of FILTER_WORDS numbers with a bit set for every term's hash. Its size is fixed."""
+    slots = terms.select(_slot(F.col("term")).alias("slot"))
+    words = slots.groupBy((F.shiftright("slot", 6)).cast("long").alias("id")).agg(F.bit_or(_bit(F.col("slot"))).alias("bits"))
+    every = terms.sparkSession.range(FILTER_WORDS).join(words, "id", "left")
+    ordered = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all"))
+    return ordered.select(F.transform("all", lambda x: x["bits"]).alias("bits"))
+
+
+def _asked(term: Column, bits: Column) -> Column:
+    """False for most terms that are not in the filter, never for one that is."""
+    return F.get(bits, F.shiftright(_slot(term), 6)).bitwiseAND(_bit(_slot(term))) != 0
+
+
+def term_counts(documents: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Occurrences of terms in all documents, and the rows that have them: term, n, rows.
+
+    Of all terms, or of those ``among`` and some more. The null term counts all words.
+    """
     own = hold(documents.select("text"), {"words": _words(F.col("text"))})
     each = own.select(F.explode(F.concat(
         F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("rows"))),
         F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("rows"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("words").alias("n"), F.lit(0).alias("rows"))),
     )).alias("t")).select("t.*")
+    if among is not None:
+        each = each.where(F.col("term").isNull() | _asked(F.col("term"), asked_terms(among).scalar()))
     return each.groupBy("term").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
 
 
@@ -156,7 +190,7 @@ def disclosing_terms(occurrences: DataFrame, counts: DataFrame, rule: Disclosure
         occurrences.groupBy("entity", "term", "_k2").agg(F.count_distinct("_k1").alias("rows"))
         .groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("held"))
     )
-    total = F.lit(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1.0)
+    total = F.lit(float((counts.where("term IS NULL").agg(F.max("n")).first()[0] or 0) + 1))
     revealed = F.log2(F.col("seen") / F.col("words") * total / F.greatest("n", F.lit(1)))
     content = F.log2(total / F.col("shown"))
     all_texts = F.greatest(F.col("rows") - F.col("held") + F.col("texts"), F.col("texts"))
@@ -169,23 +203,36 @@ def disclosing_terms(occurrences: DataFrame, counts: DataFrame, rule: Disclosure
     )
 
 
-def _wanted(documents: DataFrame, entities: DataFrame, telling: DataFrame) -> DataFrame:
-    """Terms to be marked wherever they stand in a row: _k1, _k2, wanted.
+def _marked(documents: DataFrame, entities: DataFrame, telling: DataFrame) -> DataFrame:
+    """The places to be marked: _k1, _k2, at, end.
 
-    Sure terms are wanted in every row that has them, the others in rows that hold their value.
-    Terms are met per row, each once; no value's rows meet its terms but through the row's own.
+    Sure terms wherever they stand, the others in rows that hold their value. Values meet their
+    terms first, so what a row is asked for grows with the terms of its values, not with its words.
+    Of all words only those that pass the filter leave a text, and only texts with a wanted term
+    are gone through for its places.
     """
     own = hold(documents.select("text", *row_keys()), {"words": F.array_distinct(_words(F.col("text")))})
+    words = own.select("_k1", "_k2", F.explode("words").alias("term"))
+    words = keep_table(words.where(_asked(F.col("term"), asked_terms(telling).scalar())), "words")
     sure = telling.where("sure").select("term").distinct()
-    everywhere = own.select("_k1", "_k2", F.explode("words").alias("term")).join(sure, "term", "left_semi")
-
     other = telling.where(~F.col("sure")).select("entity", "term")
-    some = entities.join(other.select("entity").distinct(), "entity", "left_semi")
-    rows = own.join(some.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi")
-    words = rows.select("_k1", "_k2", F.explode("words").alias("term")).join(other.select("term").distinct(), "term", "left_semi")
-    beside = words.join(some, ["_k1", "_k2"]).join(other, ["entity", "term"], "left_semi")
-    both = everywhere.select("_k1", "_k2", "term").union(beside.select("_k1", "_k2", "term"))
-    return both.groupBy("_k1", "_k2").agg(F.collect_set("term").alias("wanted"))
+    beside = spread_join(entities, other, ["entity"]).select("_k1", "_k2", "term").distinct()
+    wanted = spread_join(words, sure, ["term"], "left_semi").select("_k1", "_k2", "term").union(
+        words.join(beside, ["_k1", "_k2", "term"], "left_semi").select("_k1", "_k2", "term")
+    )
+    wanted = keep_table(wanted.distinct(), "wanted")
+    rows = small_side(wanted.select("_k1", "_k2").distinct(), F.lit(64))
+    places = documents.select("text", *row_keys()).join(rows, ["_k1", "_k2"], "left_semi").select(
+        "_k1", "_k2", F.explode(_terms(F.col("text"), F.lit(0))).alias("t")
+    )
+    return places.select("_k1", "_k2", "t.*").join(wanted, ["_k1", "_k2", "term"], "left_semi").select("_k1", "_k2", "at", "end")
+
+
+def small_side(rows: DataFrame, size: Column) -> DataFrame:
+    """The rows as a table, marked for broadcast if all of them are few bytes; else the join moves both sides as usual."""
+    kept = keep_table(rows, "marks")
+    total = kept.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(kept) if total <= BROADCAST_BYTES else kept
 
 
 def find_personal_data(documents: DataFrame, rule: Disclosure | None = None) -> DataFrame:
@@ -209,32 +256,25 @@ def find_personal_data(documents: DataFrame, rule: Disclosure | None = None) ->
         ).alias("t"),
     )
     occurrences = keep_table(each.select("_k1", "_k2", "entity", "context", "t.*"), "terms")
-    counts = keep_table(term_counts(documents), "counts")
+    counts = keep_table(term_counts(documents, occurrences.select("term")), "counts")
     telling = keep_table(disclosing_terms(occurrences, counts, rule).select("entity", "term", "sure"), "telling")
-    near = occurrences.join(telling, ["entity", "term"], "left_semi").groupBy("_k1", "_k2").agg(
-        F.collect_set(F.struct("at", F.lit(len(KINDS)).alias("kind"), "end")).alias("extra")
-    )
     entities = found.select("_k1", "_k2", F.explode("found").alias("s")).select(
         "_k1", "_k2", F.concat_ws(":", F.col("s.kind").cast("string"), "s.value").alias("entity")
     ).distinct()
-    wanted = _wanted(documents, entities, telling)
-    marked = documents.select("text", *row_keys()).join(wanted, ["_k1", "_k2"]).select(
-        "_k1", "_k2", F.transform(
-            F.filter(_terms(F.col("text"), F.lit(0)), lambda t: F.array_contains("wanted", t["term"])),
-            lambda t: F.struct(t["at"].alias("at"), F.lit(len(KINDS)).alias("kind"), t["end"].alias("end")),
-        ).alias("far"),
-    ).dropDuplicates(["_k1", "_k2"])
+    near = occurrences.join(telling, ["entity", "term"], "left_semi").select("_k1", "_k2", "at", "end")
+    far = _marked(documents, entities, telling)
+    term = F.struct("at", F.lit(len(KINDS)).alias("kind"), "end")
+    terms = near.union(far).groupBy("_k1", "_k2").agg(F.collect_set(term).alias("terms"))
     none = F.array().cast("array<struct<at:int,kind:int,end:int>>")
     base = F.transform("found", lambda s: F.struct(s["at"].alias("at"), s["kind"].alias("kind"), s["end"].alias("end")))
-    spans = (
-        found.select("_k1", "_k2", base.alias("base")).join(near, ["_k1", "_k2"], "left").join(marked, ["_k1", "_k2"], "full")
-        .withColumns({c: F.coalesce(c, none) for c in ("base", "extra", "far")})
+    spans = found.select("_k1", "_k2", base.alias("base")).join(terms, ["_k1", "_k2"], "full").withColumns(
+        {c: F.coalesce(c, none) for c in ("base", "terms")}
     )
-    inside = F.filter("far", lambda t: ~F.exists("base", lambda s: (t["at"] < s["end"]) & (s["at"] < t["end"])))
-    return spans.select("_k1", "_k2", "base", F.array_sort(F.concat("base", F.array_union("extra", inside))).alias("spans"))
+    return spans.select("_k1", "_k2", "base", F.array_sort(F.concat("base", "terms")).alias("spans"))
 
 
 NAMES = (*KINDS, "term")
+SPAN_BYTES = "64 + 48 * size(spans)"  # of a row of spans, base ones twice
 
 
 def told(spans: Column) -> Column:
@@ -254,7 +294,7 @@ def report(documents: DataFrame, rule: Disclosure | None = None) -> DataFrame:
     Null and empty texts have no spans. Repeated rows are reported as often as they come in;
     a null doc_id is kept; an empty table gives an empty result. Other columns are not read.
     """
-    spans = find_personal_data(documents, rule)
+    spans = small_side(find_personal_data(documents, rule), F.expr(SPAN_BYTES))
     rows = documents.select("doc_id", *row_keys()).join(spans, ["_k1", "_k2"], "left")
     none = F.array().cast("array<struct<at:int,kind:int,end:int>>")
     rows = rows.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("all"))
@@ -292,7 +332,7 @@ def sanitise(documents: DataFrame, rule: Disclosure | None = None) -> DataFrame:
     All columns stay, whatever their names, and only ``text`` changes. Rows without a span are
     left as they are, null texts too. One row per row.
     """
-    spans = find_personal_data(documents, rule).select("_k1", "_k2", "spans")
+    spans = small_side(find_personal_data(documents, rule).select("_k1", "_k2", "spans"), F.expr(SPAN_BYTES))
     joined = packed(documents).join(spans, ["_k1", "_k2"], "left")
     changed = F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(
         sanitised_text(F.col("_row.text"), F.col("spans"))
