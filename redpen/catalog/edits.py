@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from redpen.catalog.base import (
-    CLEAN, SQL_NS, clean, documents, sql_emoji, sql_fix, sql_lib_tokens, sql_spaced, sql_strip,
+    CLEAN, SQL_NS, clean, sql_emoji, sql_fix, sql_lib_tokens, sql_spaced, sql_strip,
     sql_token_rows, sql_ws_tokens, SQL_LIB_TOKEN,
 )
 from redpen.functions import patterns as P
 from redpen.functions import text as X
-from redpen.functions.diff import with_edits, with_hunk
+from redpen.functions.diff import with_hunk
 from redpen.operators import edits as E
 from redpen.operators import labels, project, suppress
 from redpen.plans import damage

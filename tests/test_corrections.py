@@ -70,6 +70,26 @@ def _shout(texts):
     return texts.withColumn("corrected", F.upper("text"))
 
 
+def test_texts_of_any_length_are_joined_by_their_key(spark):
+    long, other = "word " * 210_000, "word " * 210_000 + "!"
+    rows = [(1, long), (2, other), (3, long), (4, None), (5, ""), (6, None), *[(10 + i, "hot") for i in range(3000)]]
+    df = spark.createDataFrame(rows, "id int, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def compute(texts):
+        seen.add(texts.count())
+        return texts.withColumn("size", F.length("text"))
+
+    got = fanout.once_per_text(df, compute)
+    assert got.columns == ["text", "id", "size"]
+    assert {r.id: r.size for r in got.collect()} == {i: None if t is None else len(t) for i, t in rows}
+    assert seen.value == 5
+    results, cache = fanout.reuse(df, spark.createDataFrame([(long, 7)], "text string, size int"), compute)
+    assert {r.id: (r.size, r.hit) for r in results.where("id < 10").collect()} == {
+        1: (7, True), 3: (7, True), 2: (len(other), False), 4: (None, False), 5: (0, False), 6: (None, False)}
+    assert cache.count() == 5
+
+
 def test_reuse_bounded_keeps_the_latest(spark):
     cache = _shout(spark.createDataFrame([(f"old {i}", i) for i in range(20)], "text string, used long"))
     asked = spark.createDataFrame([("old 3", 100), ("old 3", 90), ("new", 101), ("newer", 102), (None, 103)], "text string, asked long")
