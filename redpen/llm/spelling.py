@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpen.llm.common import UPPER, keep_table, slices
-from redpen.operators.skew import spread_join
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = {ord(c): c.lower() for c in UPPER}
 FEW_ROWS = 256  # rows that become Python objects at a time
 MOST_WORDS, MOST_CHARS = 200_000, 16_000_000  # counted words of one task before they are handed on
 MOST_NODES = 50_000  # nodes of one batch
-END = 63  # the bit of ``next`` that tells that a word ends at the node
+SLOTS = 64  # bits of ``soon``
 
 
 def misspelt(doc_id: int | None, run: str, share: int) -> str:
@@ -105,26 +104,31 @@ def prefixes(sides: DataFrame) -> DataFrame:
     return sides.select("lead", "spelling", "id").mapInArrow(run, "id long, depth int, node long, char string")
 
 
-def _bit(char: Column) -> Column:
-    """A bit for a following character; the empty string, the end of a word, has its own."""
-    return F.when(char == "", F.shiftleft(F.lit(1).cast("long"), END)).otherwise(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(char), F.lit(END)))
-    )
+def _slot(rest: Column) -> Column:
+    """One of 64 slots for what follows a node: the next two characters together with how many are left."""
+    return F.pmod(F.xxhash64(F.substring(rest, 1, 2), F.length(rest)), F.lit(SLOTS)).cast("int")
+
+
+def _open(slot: Column) -> Column:
+    """Whether the child of an edge may be followed by what has the slot."""
+    return F.call_function("shiftright", F.col("soon"), slot).bitwiseAND(F.lit(1)) == 1
 
 
 def trie(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The words' places in the trie, and its edges.
 
     Places: word, node, rest, ends, one for each branching or ending node of a spelling not above
-    its middle; ``rest`` is what follows the node. Edges: node, first, label, child, next, from one
-    such node to the next below; ``label`` is what is spelt between, ``first`` its first
-    character, ``next`` a bit for every character that follows the child.
+    its middle; ``rest`` is what follows the node. Edges: node, first, label, child, soon, from one
+    such node to the next below; ``label`` is what is spelt between, ``first`` the code of its
+    first character. ``soon`` has a bit for all that follows the child (see ``_slot``): a state
+    whose rest has no bit there cannot end at a word. A node that very many words share is split
+    by adaptive execution; it has no more edges than the alphabet has letters.
     """
     own = keep_table(prefixes(sides), "prefixes")
     kept = own.groupBy("node").agg(F.min("char").alias("least"), F.max("char").alias("most")).where(
         "least < most OR least = ''"
     ).select("node", (F.col("least") == "").alias("ends"))
-    path = spread_join(own.select("id", "depth", "node"), kept, ["node"]).groupBy("id").agg(
+    path = own.select("id", "depth", "node").join(kept, "node").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("depth", "node", "ends"))).alias("path")
     )
     walked = keep_table(sides.select("id", "word", "spelling").join(path, "id"), "paths")
@@ -135,43 +139,48 @@ def trie(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def edge(here: Column, below: Column) -> Column:
         label = F.col("spelling").substr(here["depth"] + 1, below["depth"] - here["depth"])
-        after = F.col("spelling").substr(below["depth"] + 1, F.lit(1))
-        return F.struct(here["node"].alias("node"), label.alias("label"), below["node"].alias("child"), _bit(after).alias("next"))
+        after = F.col("spelling").substr(below["depth"] + 1, size)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), _slot(after))
+        return F.struct(here["node"].alias("node"), label.alias("label"), below["node"].alias("child"), bit.alias("soon"))
 
     steps = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path")), edge)
     edges = walked.select("spelling", "path").where(F.size("path") > 1).select(F.inline(steps)).groupBy(
-        "node", F.substring("label", 1, 1).alias("first")
-    ).agg(F.min("label").alias("label"), F.min("child").alias("child"), F.bit_or("next").alias("next"))
+        "node", F.ascii("label").alias("first")
+    ).agg(F.min("label").alias("label"), F.min("child").alias("child"), F.bit_or("soon").alias("soon"))
     return places, edges
 
 
-def _leads_on(next: Column, rest: Column) -> Column:
-    """Whether a node with the bits ``next`` may be followed by what is left of a word."""
-    return next.bitwiseAND(_bit(F.substring(rest, 1, 1))) != 0
-
-
 def _after_one_edit(places: DataFrame, edges: DataFrame) -> DataFrame:
-    """States word, node, rest, next after one edit at a node, where the spelling leaves the word's own path.
+    """States word, node, rest after one edit at a place and the edge behind it, which leaves the word's own path.
 
-    A character is replaced by or preceded by the first one of an edge, whose other characters
-    follow unchanged; or it is left out, and the state stays at the node.
+    The edge's first character replaces the word's or comes before it, and its other characters
+    follow unchanged; or the word's is left out, and the edge follows. Most labels are one
+    character: what is asked for those is computed once per place.
     """
-    met = spread_join(places.select("word", "node", "rest"), edges, ["node"]).where(
-        F.col("first") != F.substring("rest", 1, 1)
-    )
-    size, rest, tail = F.length("label"), F.col("rest"), F.col("label").substr(F.lit(2), F.length("label"))
-    ways = F.array(
-        F.when((rest != "") & (rest.substr(F.lit(2), size - 1) == tail), rest.substr(size + 1, F.length(rest))),
-        F.when(rest.substr(F.lit(1), size - 1) == tail, rest.substr(size, F.length(rest))),
-    )
-    edited = met.select("word", F.col("child").alias("node"), "next", F.explode(ways).alias("rest")).where(
-        F.col("rest").isNotNull() & _leads_on(F.col("next"), F.col("rest"))
-    )
-    without = places.where("rest != ''").select(
-        "word", "node", F.when(F.col("ends"), _bit(F.lit(""))).otherwise(F.lit(0).cast("long")).alias("next"),
-        F.col("rest").substr(F.lit(2), F.length("rest")).alias("rest"), F.substring("rest", 1, 1).alias("gone"),
-    ).where("gone != substring(rest, 1, 1)").where((F.col("rest") != "") | (F.col("next") != 0)).drop("gone")
-    return edited.select("word", "node", "rest", "next").union(without.select("word", "node", "rest", "next"))
+    rest = F.col("rest")
+
+    def after(n: int) -> Column:
+        return rest.substr(F.lit(n + 1), F.length(rest))
+
+    ready = places.select("word", "node", "rest", F.ascii(rest).alias("_c0"), F.ascii(after(1)).alias("_c1"), *[
+        _slot(after(n)).alias(f"_s{n}") for n in range(3)
+    ])
+    met = ready.join(edges, "node").where(F.col("first") != F.col("_c0"))
+    size, tail = F.length("label"), F.col("label").substr(F.lit(2), F.length("label"))
+
+    def way(fits: Column, slot: str, long_fits: Column, behind: Column) -> tuple[Column, Column]:
+        left = rest.substr(behind + 1, F.length(rest))
+        return F.when(size == 1, fits & _open(F.col(slot))).otherwise(long_fits & _open(_slot(left))), left
+
+    some = rest != ""
+    ways = [
+        way(some, "_s1", some & (rest.substr(F.lit(2), size - 1) == tail), size),
+        way(F.lit(True), "_s0", rest.substr(F.lit(1), size - 1) == tail, size - 1),
+        way(some & (F.col("_c1") == F.col("first")), "_s2", some & (rest.substr(F.lit(2), size) == F.col("label")), size + 1),
+    ]
+    edited = met.where(ways[0][0] | ways[1][0] | ways[2][0])
+    left = F.array_compact(F.array(*[F.when(ok, what) for ok, what in ways]))
+    return edited.select("word", F.col("child").alias("node"), F.explode(left).alias("rest"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -186,23 +195,21 @@ def neighbours(words: DataFrame) -> DataFrame:
     places, edges = trie(sides)
     places, edges = keep_table(places, "places"), keep_table(edges, "edges")
     frontier = keep_table(_after_one_edit(places, edges), "frontier")
-    found = []
+    # The last character left out, where that is a word.
+    found = [places.where((F.length("rest") == 1) & F.col("ends")).select("word", "node")]
     while True:
-        found.append(frontier.where("rest = ''").where(_leads_on(F.col("next"), F.col("rest"))).select("word", "node"))
-        moving = frontier.where("rest != ''").withColumn("first", F.substring("rest", 1, 1))
+        found.append(frontier.where("rest = ''").select("word", "node"))
+        moving = frontier.where("rest != ''").withColumn("first", F.ascii("rest"))
         if moving.isEmpty():
             break
-        met = spread_join(moving.select("word", "node", "first", "rest"), edges, ["node", "first"])
-        size = F.length("label")
-        ahead = met.where(F.startswith("rest", "label")).select(
-            "word", F.col("child").alias("node"), F.col("rest").substr(size + 1, F.length("rest")).alias("rest"), "next"
-        )
-        frontier = keep_table(ahead.where(_leads_on(F.col("next"), F.col("rest"))), "frontier")
+        left = F.col("rest").substr(F.length("label") + 1, F.length("rest"))
+        ahead = moving.join(edges, ["node", "first"]).where(F.startswith("rest", "label")).where(_open(_slot(left)))
+        frontier = keep_table(ahead.select("word", F.col("child").alias("node"), left.alias("rest")), "frontier")
     ended = found[0]
     for level in found[1:]:
         ended = ended.union(level)
     pairs = ended.join(sides.select(F.col("id").alias("node"), F.col("word").alias("near"), "n"), "node")
-    # Nodes are digests; the distance itself decides.
+    # Only ids of words are met here, and nodes are digests: the distance itself decides.
     return pairs.where(F.levenshtein("word", "near") == 1).select("word", "near", "n").distinct()
 
 
