@@ -123,8 +123,8 @@ def d9_pos(spark, sf):
     bent = base.where(token.rlike(r"^\p{L}+$")).select(
         *IDS, F.lit("bent").alias("kind"), F.array(F.concat(token, ending)).alias("o_tok"), F.array(token).alias("c_tok"))
     bent = bent.withColumn("code", labels.edit_code(F.get("o_tok", F.lit(0)), F.get("c_tok", F.lit(0)), F.col("o_tok"), F.col("c_tok")))
-    df = known.unionByName(bent)
-    return df.select(*IDS, "kind", labels.pos_code(F.col("code"), _readings("o_tok"), _readings("c_tok")).alias("code"))
+    df = X.hold(known.unionByName(bent), {"o_read": _readings("o_tok"), "c_read": _readings("c_tok")})
+    return df.select(*IDS, "kind", labels.pos_code(F.col("code"), F.col("o_read"), F.col("c_read")).alias("code"))
 
 
 QUERIES = {

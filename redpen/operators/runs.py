@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redpen.functions.text import hold
 from redpen.operators.skew import running_total, spread_join
 
 DAY_US = 86_400_000_000
@@ -180,12 +181,12 @@ def agreement_masks(matches: DataFrame, column: str = "matches") -> DataFrame:
         F.coalesce(F.col(column), F.array().cast(matches.schema[column].dataType)),
         lambda m: F.struct(F.struct(m.offset, m.length, m.replacement).alias("key"), m.corrector_idx.alias("c")),
     )
-    ordered = matches.select(F.array_sort(keyed).alias("_s"))
+    ordered = hold(matches.select(column), {"_s": F.array_sort(keyed)}).select("_s")
     first = F.filter(
         F.sequence(F.lit(0), F.size("_s")),
         lambda i: (i == 0) | (i == F.size("_s")) | ~F.get("_s", i).key.eqNullSafe(F.get("_s", i - 1).key),
     )
-    ranged = ordered.where(F.size("_s") > 0).withColumn("_f", first)
+    ranged = hold(ordered.where(F.size("_s") > 0), {"_f": first})
 
     def mask(i: Column) -> Column:
         own = F.slice("_s", F.get("_f", i) + 1, F.get("_f", i + 1) - F.get("_f", i))
