@@ -26,7 +26,7 @@ LONE = np.uint64(xxhash.xxh64_intdigest("lone word"))
 FEW = 64  # a node of so many sets or fewer is compared exhaustively where it is
 BRANCHES, LEVELS = 3, 5  # places chosen at a larger node, and levels after the first
 CHUNK = 2048  # sets of a part of a node that does not split
-CHUNK_BYTES = 16 << 20  # shingles of a part of a cluster
+CHUNK_BYTES = 4 << 20  # shingles of a part of a cluster
 MISSED = 1e-6  # chance that the sketches of a pair at the limit look too different
 FEW_ROWS, FEW_SHINGLES = 128, 256  # rows that become Python objects, and shingles that are mixed, at a time
 MOST_WORDS = 500_000  # remembered word hashes of one Python worker
@@ -307,6 +307,9 @@ def confirmed(sets: DataFrame, similarity: float) -> DataFrame:
             near = np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])
             has[:] = False
             has[codes[ends[i] : ends[i + 1]]] = True
+            if np.count_nonzero(near) > FEW:
+                common = np.add.reduceat(has[codes], ends[:-1], dtype=np.int64)[rest]
+                return near & (common >= similarity * (sizes[i] + sizes[rest] - common) - 1e-9)
             for k in np.flatnonzero(near):
                 j = rest[k]
                 common = np.count_nonzero(has[codes[ends[j] : ends[j + 1]]])
