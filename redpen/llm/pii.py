@@ -161,14 +161,15 @@ def term_counts(documents: DataFrame, among: DataFrame | None = None) -> DataFra
     Of all terms, or of those ``among`` and some more. The null term counts all words.
     """
     own = hold(documents.select("text"), {"words": _words(F.col("text"))})
-    each = own.select(F.explode(F.concat(
-        F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("rows"))),
-        F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("rows"))),
-        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("words").alias("n"), F.lit(0).alias("rows"))),
-    )).alias("t")).select("t.*")
+    # Lists 0, 1 and 2 of a text: all words, its different words, and one null for their number.
+    lists = own.select(F.size("words").alias("size"), F.posexplode(
+        F.array("words", F.array_distinct("words"), F.array(F.lit(None).cast("string")))
+    ).alias("list", "terms"))
+    each = lists.select("size", "list", F.explode("terms").alias("term"))
     if among is not None:
         each = each.where(F.col("term").isNull() | _asked(F.col("term"), asked_terms(among).scalar()))
-    return each.groupBy("term").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    n = F.when(F.col("list") == 0, 1).when(F.col("list") == 2, F.col("size")).otherwise(0)
+    return each.groupBy("term").agg(F.sum(n).alias("n"), F.sum((F.col("list") == 1).cast("int")).alias("rows"))
 
 
 def disclosing_terms(occurrences: DataFrame, counts: DataFrame, rule: Disclosure) -> DataFrame:
