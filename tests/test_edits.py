@@ -192,3 +192,20 @@ def test_running_sums_blocks(spark):
     df = spark.createDataFrame([(v,) for v in values], "v array<int>")
     for row in df.select("v", X.running_sums(F.col("v")).alias("s")).collect():
         assert row.s == [sum(row.v[: i + 1]) for i in range(len(row.v))]
+
+
+def test_diff_is_one_arrow_pass(spark):
+    """The work on token arrays is in one Arrow function, not in functions the JVM interprets per element."""
+    df = spark.createDataFrame([(["a", "b"], ["a"]), (None, ["a"])], "a array<string>, b array<string>")
+    plan = with_edits(df, "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
+    assert [[tuple(e) for e in r.edits] for r in with_edits(df, "a", "b").collect()] == [[("delete", 1, 2, 1, 1)], []]
+
+
+def test_plain_matches_tell_their_route(spark):
+    """The route comes with the matches: pairs are not diffed twice and joined."""
+    df = spark.createDataFrame([(1, "a b c", "a x c"), (2, "a b a b", "b a"), (3, "a", "a")], "id int, original string, corrected string")
+    out = E.with_plain_matches(df, route="route")
+    assert {r.id: r.route for r in out.collect()} == {1: "hunk", 2: "diff", 3: "equal"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
