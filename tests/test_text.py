@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from redpen.functions import patterns as P
 from redpen.functions import text as X
 from redpen.operators import project
 
@@ -80,3 +81,11 @@ def test_utf16_offset(spark):
     text = "a😀b"
     row = spark.createDataFrame([(text, 2)], "t string, o int").select(X.utf16_offset(F.col("t"), F.col("o")).alias("u")).first()
     assert row.u == 3 and re.match("b", text[2:])
+
+
+def test_java_classes_hold_the_same_characters(spark):
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    df = spark.createDataFrame([(every,)], "t string")
+    for plain, java in [(P.WS, P.JAVA_WS), (P.WORD, P.JAVA_WORD)]:
+        row = df.select(F.regexp_replace("t", plain, "").alias("a"), F.regexp_replace("t", java, "").alias("b")).first()
+        assert row.a == row.b and row.a != every
