@@ -89,3 +89,38 @@ def test_java_classes_hold_the_same_characters(spark):
     for plain, java in [(P.WS, P.JAVA_WS), (P.WORD, P.JAVA_WORD)]:
         row = df.select(F.regexp_replace("t", plain, "").alias("a"), F.regexp_replace("t", java, "").alias("b")).first()
         assert row.a == row.b and row.a != every
+
+
+def test_java_runs_find_the_same_tokens(spark):
+    # Every character between two letters and alone, so that each class meets each other one.
+    every = "".join(f"x{c}y {c} " for c in map(chr, [*range(0xD800), *range(0xE000, 0x12000)]))
+    df = spark.createDataFrame([(every,), ("",), (" \u2003",), (None,)], "t string")
+    mark = r"[^\p{L}\p{N}_" + P.WS[1:]
+    for plain, java in [
+        (f"{P.NS}+", P.JAVA_NS_RUN), (f"{P.WS}*{P.NS}+", f"{P.JAVA_WS}*+{P.JAVA_NS_RUN}"),
+        (f"(?:{P.WORD}+|{mark})", P.PLAIN_TOKEN), (f"{P.WS}*(?:{P.WORD}+|{mark})", f"{P.JAVA_WS}*+{P.PLAIN_TOKEN}"),
+    ]:
+        found = [F.regexp_extract_all("t", F.lit(x), F.lit(0)).alias(n) for n, x in (("a", plain), ("b", java))]
+        rows = df.select(*found).collect()
+        assert all(r.a == r.b for r in rows) and len(rows[0].b) > 1000
+
+
+def test_long_runs_need_no_stack(spark):
+    text = "a\u00e9\u4e2d" * 100_000
+    row = spark.createDataFrame([(text,)], "t string").select(
+        X.ws_tokens(F.col("t")).alias("w"), X.lib_tokens(F.col("t")).alias("l"), X.ws_token_starts(F.col("t")).alias("s")
+    ).first()
+    assert row.w == row.l == [text] and row.s == [0]
+
+
+def test_starts_nobody_asks_for_are_not_computed(spark):
+    docs = spark.createDataFrame([(1, "a b. c", "en", "s")], "doc_id long, text string, lang string, source string")
+    sentences = project.sentences(docs)
+    lean = sentences.select("doc_id", "sent_idx", "text")
+    words = project.tokens(lean).groupBy("token").count()
+    for df in (lean, words):
+        assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in sentences.select("sent_idx", "text", "sent_start").orderBy("sent_idx").collect()] == [
+        (0, "a b", 0), (1, "c", 5)]
+    assert [tuple(r) for r in project.tokens(lean).orderBy("sent_idx", "pos").select("pos", "token", "start").collect()] == [
+        (0, "a", 0), (1, "b", 2), (0, "c", 0)]
