@@ -45,10 +45,20 @@ def repeated_words(ws: Column) -> Column:
 
         return let(let(windows, repeats), lambda at: F.when(F.size(at) > 0, covered(at)).otherwise(0))
 
-    def decided(w: Column) -> Column:
-        hashes = F.transform(
-            F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(WINDOW)])
+    def mixed(a: Column, b: Column, apart: int) -> Column:
+        """Each hash of ``a`` with that of ``b`` which is ``apart`` places further on."""
+        n = F.size(b) - apart
+        return F.zip_with(
+            F.slice(a, 1, n), F.slice(b, apart + 1, n), lambda x, y: F.shiftleft(x, apart).bitwiseXOR(y)
         )
+
+    def windows_of(single: Column) -> Column:
+        """One hash per window of five: each word is hashed once, pairs make fours, fours and a word make fives."""
+        fours = let(mixed(single, single, 1), lambda two: mixed(two, two, 2))
+        return mixed(fours, single, WINDOW - 1)
+
+    def decided(w: Column) -> Column:
+        hashes = let(F.transform(w, lambda t: F.xxhash64(t)), windows_of)
         return let(
             hashes, lambda h: F.when(F.size(h) == F.size(F.array_distinct(h)), F.lit(0)).otherwise(exact(w))
         )
@@ -64,14 +74,14 @@ def base_measures(text: Column) -> dict[str, Column]:
     return {
         "n_words": F.size(ws).cast("long"),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(ws),
     }
 
 
-def feature_buckets(text: Column, buckets: int) -> Column:
-    """Hash buckets of all words and punctuation runs, and of all pairs of neighbours."""
+def feature_hashes(text: Column) -> Column:
+    """Hashes of all words and punctuation runs, and of all pairs of neighbours."""
 
     def hashed(tokens: Column) -> Column:
         single = F.transform(tokens, lambda t: F.xxhash64(t))
@@ -84,7 +94,11 @@ def feature_buckets(text: Column, buckets: int) -> Column:
         )
 
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FEATURE), F.lit(0))
-    return F.transform(hashed(tokens), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    return hashed(tokens)
+
+
+def bucket_of(hashed: Column, buckets: int) -> Column:
+    return F.pmod(hashed, F.lit(buckets)).cast("int")
 
 
 def fit_weights(documents: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = 1.0) -> list[float]:
@@ -93,12 +107,13 @@ def fit_weights(documents: DataFrame, trusted: DataFrame, buckets: int, smoothin
     The raw counts are those of every document. The target is every trusted document; ``trusted``
     has distinct ids, as many as there are. ``buckets`` numbers reach the driver, whatever the input.
     """
+    # Texts meet the ids by the same kind of join at every size: each text is shuffled once.
     marked = documents.select("doc_id", "text").join(
-        trusted.select("doc_id", F.lit(1).alias("_trusted")), "doc_id", "left"
+        trusted.select("doc_id", F.lit(1).alias("_trusted")).hint("merge"), "doc_id", "left"
     )
     counts = (
-        marked.select("_trusted", F.explode(feature_buckets(F.col("text"), buckets)).alias("bucket"))
-        .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("target"))
+        marked.select("_trusted", F.explode(feature_hashes(F.col("text"))).alias("hashed"))
+        .groupBy(bucket_of(F.col("hashed"), buckets).alias("bucket")).agg(F.count("*").alias("raw"), F.count("_trusted").alias("target"))
         .collect()  # one row per bucket
     )
     raw = [smoothing] * buckets
@@ -134,9 +149,9 @@ def judge_quality(
     spark = documents.sparkSession
     table = spark.createDataFrame([(weights,)], "w array<double>").scalar()
     mean_weight = let(
-        feature_buckets(F.col("text"), buckets),
-        lambda b: F.aggregate(b, F.lit(0.0), lambda acc, i: acc + F.get("_weights", i))
-        / F.greatest(F.size(b), F.lit(1)),
+        feature_hashes(F.col("text")),
+        lambda h: F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get("_weights", bucket_of(x, buckets)))
+        / F.greatest(F.size(h), F.lit(1)),
     )
     scored = F.round(mean_weight, 9)
     rows = documents.select("doc_id", "text", table.alias("_weights"))

@@ -95,3 +95,29 @@ def test_every_trusted_document_counts(spark):
     labels = ids.select("doc_id", F.lit(1).alias("quality"))
     got = quality.judge_quality(docs.drop("late"), labels).join(docs, "doc_id").where("late").collect()
     assert len(got) == 40 and all(r.score > -0.1 and r.kept for r in got)
+
+
+def test_quality_joins_alike_at_every_size(spark):
+    # A broadcast of the ids for few labels only made disk grow faster than the input.
+    rows = [(i, prose(i, 60) + " #" * (i % 3)) for i in range(30)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    hinted = []
+    plain = type(docs).hint
+    try:
+        type(docs).hint = lambda self, name, *rest: hinted.append(name) or plain(self, name, *rest)
+        got = {r.doc_id: r for r in quality.judge_quality(docs, labels).collect()}
+    finally:
+        type(docs).hint = plain
+    assert hinted == ["merge"] and all(got[i].n_symbols == i % 3 for i, _ in rows)
+
+
+def test_repeated_windows_at_any_distance(spark):
+    words = "a b c d e".split()
+    for gap in range(0, 9):
+        text = " ".join([*words, *[f"w{i}" for i in range(gap)], *words])
+        row = documents(spark, [(1, text)]).select(quality.base_measures(F.col("text"))["n_repeat_words"].alias("n")).first()
+        assert row.n == 10, gap
+    for text in ("a b c d", "a b c d e", "a b c d e f", "e d c b a b c d e", ""):
+        row = documents(spark, [(1, text)]).select(quality.base_measures(F.col("text"))["n_repeat_words"].alias("n")).first()
+        assert row.n == 0, text
