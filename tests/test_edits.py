@@ -209,3 +209,12 @@ def test_plain_matches_tell_their_route(spark):
     assert {r.id: r.route for r in out.collect()} == {1: "hunk", 2: "diff", 3: "equal"}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_spelling_works_out_its_edits_once(spark):
+    edits = spark.createDataFrame([(1, "elpa", "apple", "R:OTHER")], "id long, o_str string, c_str string, code string")
+    edits = edits.withColumn("o_str", F.reverse("o_str"))
+    vocab = spark.createDataFrame([("apple", 5)], "token string, n long")
+    out = labels.spelling_codes(edits, vocab)
+    assert "reverse(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.select("id", "o_str", "code").collect()] == [(1, "aple", "R:SPELL")]
