@@ -68,7 +68,7 @@ def apply_rules(text: Column, rules: list[tuple]) -> Column:
     """
     for pattern, replacement, *needed in rules:
         if needed:
-            text = X.let(text, X.replace_where(needed[0], pattern, replacement))
+            text = X.let(text, X.replace_where([needed[0]], pattern, replacement))
         else:
             text = F.regexp_replace(text, pattern, replacement)
     return text
