@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redpen.llm.common import keep_table, packed, row_keys
+from redpen.llm.common import keep_table, packed, row_keys, slices
 
 WINDOW, SUBSTITUTIONS = 13, 2
 # Scripts written without blanks: Thai to Tibetan, Myanmar, Khmer, Tai, kana, Bopomofo, ideographs and their extensions.
@@ -21,6 +21,7 @@ UNSPACED = (
 # Every letter of these scripts is a token, other letters and digits are tokens in runs.
 TOKEN = re.compile(rf"(?=[{UNSPACED}])\w|[^\W{UNSPACED}]+")
 FILTER_BITS = 26
+FEW_ROWS = 128  # texts that become Python objects at a time
 MOST_TOKENS = 1_000_000
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"place {i}") | 1 for i in range(WINDOW)], np.uint64)
 
@@ -36,7 +37,9 @@ def shapes(lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
     return [(WINDOW, m) for m in masks()] + [(n, tuple(range(n))) for n in sorted(lengths)]
 
 
-class _Tokens(dict):
+class Hashes(dict):
+    """Hashes of tokens already seen. One per task, so that nothing stays in the Python worker."""
+
     def __missing__(self, token):
         if len(self) >= MOST_TOKENS:
             self.clear()
@@ -44,12 +47,9 @@ class _Tokens(dict):
         return n
 
 
-_SEEN = _Tokens()  # one memory per Python worker
-
-
-def token_hashes(text: str | None) -> np.ndarray:
+def token_hashes(text: str | None, seen: Hashes) -> np.ndarray:
     """Hashes of the lower-case tokens of a text."""
-    return np.array([_SEEN[t] for t in TOKEN.findall((text or "").lower())], np.uint64)
+    return np.array([seen[t] for t in TOKEN.findall((text or "").lower())], np.uint64)
 
 
 def seed_hashes(tokens: np.ndarray, number: int, shape: tuple[int, tuple[int, ...]]) -> np.ndarray:
@@ -78,10 +78,11 @@ def benchmark_seeds(benchmark: DataFrame, seeds: list[tuple[int, tuple[int, ...]
     kinds = {"hash": pa.int64(), "tokens": pa.list_(pa.int64()), "item_id": pa.int64()}
 
     def run(batches):
-        for batch in batches:
+        seen = Hashes()
+        for batch in slices(batches, FEW_ROWS):
             found = []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = token_hashes(text)
+                tokens = token_hashes(text, seen)
                 for number, shape in enumerate(seeds):
                     if shape[0] < WINDOW and len(tokens) != shape[0]:
                         continue  # short shapes are for whole items
@@ -137,11 +138,11 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
              "own": pa.list_(pa.int64())}
 
     def run(batches):
-        shift, low = np.uint64(64 - FILTER_BITS), np.uint64(63)
-        for batch in batches:
+        shift, low, seen = np.uint64(64 - FILTER_BITS), np.uint64(63), Hashes()
+        for batch in slices(batches, FEW_ROWS):
             found = []
             for k1, k2, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                tokens = token_hashes(text)
+                tokens = token_hashes(text, seen)
                 for number, shape in enumerate(seeds):
                     hashes = seed_hashes(tokens, number, shape)
                     place = hashes >> shift

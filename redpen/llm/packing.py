@@ -11,9 +11,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redpen.llm.common import keep_table
+from redpen.llm.common import keep_table, slices
 from redpen.llm.tokens import word_bpe
 
+FEW_ROWS = 128  # texts that become Python objects at a time
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 )
@@ -31,7 +32,7 @@ def cut_pieces(
         encode = word_bpe(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in slices(batches, FEW_ROWS):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end

@@ -55,7 +55,7 @@ class _Chunks(dict):
         return ids
 
 
-_LOADED: dict[str, _Chunks] = {}
+_LOADED: dict[str, Tokenizer] = {}
 
 
 def word_bpe(path: str):
@@ -63,11 +63,12 @@ def word_bpe(path: str):
 
     For tokenizers that drop white space, lower-case, and split into words: the ids of a
     text are then those of its runs between blanks. Equal to encoding the text as a whole
-    without special tokens. One memory per Python worker, bounded in entries.
+    without special tokens. The tokenizer stays in the Python worker; the memory of words,
+    bounded in entries, belongs to the function and goes with it.
     """
     if path not in _LOADED:
-        _LOADED[path] = _Chunks(Tokenizer.from_file(path))
-    chunks = _LOADED[path]
+        _LOADED[path] = Tokenizer.from_file(path)
+    chunks = _Chunks(_LOADED[path])
 
     def encode(text: str) -> bytes:
         return b"".join(map(chunks.__getitem__, text.replace("\n", " ").split(" ")))

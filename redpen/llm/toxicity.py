@@ -7,12 +7,11 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redpen.llm.common import smallest_by_hash
+from redpen.llm.common import slices, smallest_by_hash
 
 # Letters of other scripts and digits or marks that are read as Latin letters.
 LOOKALIKES = {
@@ -24,6 +23,8 @@ LOOKALIKES = {
     "@": "a", "$": "s", "l": "i",
 }
 SHORTEST_PREFIX, LONGEST_PREFIX = 4, 8
+FEW_ROWS = 128  # texts that become Python objects at a time
+MOST_HELD = 50_000  # pairs or counted strings of one task before they are handed on
 
 
 class _Folding(dict):
@@ -148,37 +149,50 @@ def fit_logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.01) -> t
     return tuple(float(b) for b in beta)
 
 
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a term and the word before it, handed on at MOST_HELD, also within a long text."""
+
+    def handed(seen):
+        terms, before = zip(*seen, strict=True) if seen else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(before, pa.string())], names=["term", "before"])
+
+    seen = set()
+    for batch in slices(batches, FEW_ROWS):
+        for text in batch.column(0).to_pylist():
+            ws = fold(text).split()
+            for before, word in zip(["", *ws], ws, strict=False):
+                seen.update((term, before) for term in word_terms(word))
+                if len(seen) >= MOST_HELD:
+                    yield handed(seen)
+                    seen = set()
+    yield handed(seen)
+
+
 def _toxic_evidence(sample: DataFrame, least: int) -> DataFrame:
     """Terms of toxic texts with the number of different words they follow, so that copies count once."""
-
-    def run(batches):
-        for batch in batches:
-            seen = set()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if toxic:
-                    ws = fold(text).split()
-                    for before, word in zip(["", *ws], ws, strict=False):
-                        seen.update((term, before) for term in word_terms(word))
-            terms, before = zip(*sorted(seen), strict=True) if seen else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(before, pa.string())], names=["term", "before"])
-
-    pairs = sample.where("toxic = 1").select("text", "toxic").mapInArrow(run, "term string, before string").distinct()
+    pairs = sample.where("toxic = 1").select("text").mapInArrow(_evidence, "term string, before string").distinct()
     return pairs.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def _counted(sample: DataFrame, found_in, name: str) -> DataFrame:
     """Number of clean and of toxic texts in which ``found_in`` finds each string."""
 
+    def handed(counts):
+        keys = sorted({*counts[0], *counts[1]})
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in counts]],
+            names=[name, "clean", "toxic"],
+        )
+
     def run(batches):
-        for batch in batches:
-            counts = (Counter(), Counter())
+        counts = (Counter(), Counter())
+        for batch in slices(batches, FEW_ROWS):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update(found_in(fold(text)))
-            keys = sorted({*counts[0], *counts[1]})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in counts]],
-                names=[name, "clean", "toxic"],
-            )
+                if len(counts[0]) + len(counts[1]) >= MOST_HELD:
+                    yield handed(counts)
+                    counts = (Counter(), Counter())
+        yield handed(counts)
 
     mapped = sample.select("text", "toxic").mapInArrow(run, f"{name} string, clean long, toxic long")
     return mapped.groupBy(name).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -261,7 +275,7 @@ def learn_lexicon(
 
     def measured(batches):
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in slices(batches, FEW_ROWS):
             rows = [features(fold(t), automaton) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"]
@@ -284,7 +298,7 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.
 
     def run(batches):
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in slices(batches, FEW_ROWS):
             scores, terms = [], []
             for text in batch.column(1).to_pylist():
                 folded = fold(text)
@@ -313,11 +327,11 @@ def drop_toxic(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -
     """
     beta = np.array(lexicon.model)
 
-    @F.pandas_udf("boolean")
-    def mild(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def mild(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = lexicon.automaton()
-        for batch in texts:
-            x = np.array([features(fold(t), automaton) for t in batch]).reshape(-1, len(beta))
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))) < threshold)
+        for batch in texts:  # one text at a time is a Python object
+            x = np.array([features(fold(t.as_py()), automaton) for t in batch]).reshape(-1, len(beta))
+            yield pa.array(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))) < threshold)
 
     return documents.where(mild(F.col("text").cast("string")))

@@ -1,11 +1,15 @@
+import gc
 import hashlib
 import random
 import re
 import zlib
 
+import pyarrow as pa
+import public_tokenizers
 from helpers_llm import awkward, clean_rows, documents, prose
 
 from redpen.llm import decontamination, pii, toxicity
+from redpen.llm import tokens as ids
 
 BAD = ["grulm", "vexnor", "smodge"]
 
@@ -206,3 +210,24 @@ def test_toxicity_folds_capitals_of_other_scripts_and_styled_letters():
     assert toxicity.fold("한글") == " 한글 " and toxicity.fold("straße") == " strabe "
     automaton = toxicity.Lexicon({" джщ ": 5.0}, (), ()).automaton()
     assert len(toxicity.matches(toxicity.fold("и ДЖЩ!"), automaton)) == 1
+
+
+def test_evidence_is_handed_on_in_bounded_parts():
+    texts = [None, "", *[prose(i, 150, 3000) for i in range(300)], prose(999, 30_000, 20_000)]
+    parts = list(toxicity._evidence([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]))
+    assert len(parts) > 2 and max(p.num_rows for p in parts) < toxicity.MOST_HELD + 10
+    wanted = set()
+    for text in texts:
+        ws = toxicity.fold(text).split()
+        wanted |= {(term, before) for before, w in zip(["", *ws], ws, strict=False) for term in toxicity.word_terms(w)}
+    assert {(r["term"], r["before"]) for p in parts for r in p.to_pylist()} == wanted
+    assert [p.num_rows for p in toxicity._evidence([])] == [0]
+
+
+def test_words_already_seen_stay_in_memory_for_one_task_only():
+    encode, seen = ids.word_bpe(public_tokenizers.path("word_bpe_49k.json")), decontamination.Hashes()
+    assert encode("some words") and len(decontamination.token_hashes("Some words", seen)) == len(seen) == 2
+    del encode, seen
+    gc.collect()
+    kinds = (ids._Chunks, ids._Words, decontamination.Hashes)
+    assert not [o for o in gc.get_objects() if isinstance(o, kinds)]
