@@ -9,6 +9,7 @@ from redpen.functions import patterns as P
 from redpen.functions import text as X
 from redpen.functions.diff import with_edits, with_hunk
 from redpen.operators import edits as E
+from redpen.operators import project
 
 ODD = "\u2003the  caf\u00e9 \x1cof\u00a0\U0001f600 the\n\nof "
 TEXTS = [ODD, "", "  ", "no flag here", "the the of la der el and " * 40, None, "it's the (end), of it"]
@@ -60,3 +61,19 @@ def test_spaces_before_marks_go_in_one_search(spark):
     got = df.select(X.fix_tokenization(F.col("t")).alias("x")).first().x
     assert got == expected
     assert len(P.JAVA_FIXES) == len(P.TOKENIZATION_FIXES) - 4
+
+
+@pytest.mark.parametrize("library", [False, True])
+def test_every_token_has_its_start_beside_it(spark, library):
+    """No list of all starts is copied for every token of a long text."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, text string")
+    tok, pos = (X.lib_tokens, X.lib_token_starts) if library else (X.ws_tokens, X.ws_token_starts)
+    expected = [
+        (r.id, i, t, s) for r in df.select("id", tok(F.col("text")).alias("t"), pos(F.col("text")).alias("s")).collect()
+        for i, (t, s) in enumerate(zip(r.t or [], r.s or []))
+    ]
+    out = project.tokens(df, library=library)
+    assert sorted(map(tuple, out.collect())) == expected
+    assert "_starts" not in _plan(out)
+    bare = project.tokens(df, library=library, starts=False)
+    assert sorted(map(tuple, bare.collect())) == [r[:3] for r in expected] and "ArrowEvalPython" not in _plan(bare)
