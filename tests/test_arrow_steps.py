@@ -1,5 +1,7 @@
 """Token starts and token diffs that work in one Arrow pass: results, and that the pass is there."""
 
+import difflib
+import random
 import re
 
 import pytest
@@ -7,9 +9,9 @@ from pyspark.sql import functions as F
 
 from redpen.functions import patterns as P
 from redpen.functions import text as X
-from redpen.functions.diff import with_edits, with_hunk
+from redpen.functions.diff import differ, with_edits, with_hunk
+from redpen.operators import apply, project
 from redpen.operators import edits as E
-from redpen.operators import project
 
 ODD = "\u2003the  caf\u00e9 \x1cof\u00a0\U0001f600 the\n\nof "
 TEXTS = [ODD, "", "  ", "no flag here", "the the of la der el and " * 40, None, "it's the (end), of it"]
@@ -77,3 +79,56 @@ def test_every_token_has_its_start_beside_it(spark, library):
     assert "_starts" not in _plan(out)
     bare = project.tokens(df, library=library, starts=False)
     assert sorted(map(tuple, bare.collect())) == [r[:3] for r in expected] and "ArrowEvalPython" not in _plan(bare)
+
+
+def _edited(rng):
+    words = [f"w{i}" for i in range(rng.choice([1, 3, 20, 300]))]
+    x = [rng.choice(words) for _ in range(rng.choice([0, 1, 4, 15, 40, 205, 260]))]
+    y = list(x)
+    for _ in range(rng.choice([0, 1, 2, 6])):
+        k = rng.randrange(len(y) + 1)
+        y[k:k + rng.choice([0, 1])] = rng.choice([[], [rng.choice(words)], ["q"], y[k:k + 1] * 2, [None]])
+    return (x, y) if rng.random() < 0.5 else (y, x)
+
+
+def test_certain_blocks_are_the_matchers(monkeypatch):
+    """The edits are the matcher's, which is not asked where every block has a token of its own."""
+    rng = random.Random(5)
+    compared = differ()
+    for _ in range(3000):
+        x, y = _edited(rng)
+        expected = [o for o in difflib.SequenceMatcher(None, x, y).get_opcodes() if o[0] != "equal"]
+        assert [tuple(e) for e in compared(x, y)[3]] == expected
+    monkeypatch.setattr(difflib.SequenceMatcher, "__init__", None)
+    several, twice = "a b c d e f g h i".split(), "a b c c d e".split()
+    assert differ()(several, "a b d e f h i".split())[3] == [("delete", 2, 3, 2, 2), ("delete", 6, 7, 5, 5)]
+    assert differ()(twice, "a b c d e".split())[2:] == ("diff", [("delete", 3, 4, 3, 3)])
+
+
+def test_plain_edits_and_matches_are_one_pass(spark):
+    """Tokens, diff and matches of texts come from one Arrow function; no pattern searches for tokens beside it."""
+    df = spark.createDataFrame(
+        [(1, "a  b c", "a\u2003x  y c"), (2, "a b a b", "b a"), (3, "a", "a"), (4, None, "a"), (5, "", "new one"), (6, "x  b", "b")],
+        "id int, original string, corrected string")
+    matched, edited = E.with_plain_matches(df, fix=False), E.with_plain_edits(df, fix=False)
+    for out in (matched, edited, E.with_plain_matches(df), E.with_plain_edits(df)):
+        assert "regexp_extract_all" not in _plan(out) and _plan(out).count("ArrowEvalPython") == 1
+    got = {r.id: [tuple(m) for m in r.matches] for r in matched.collect()}
+    assert got == {
+        1: [("replace", 3, 1, "x  y", "x  y", 1)], 2: [("delete", 0, 3, "b", "b", None), ("delete", 4, 3, "a", "a", None)],
+        3: [], 4: [], 5: [], 6: [("delete", 0, 4, "b", "b", None)],
+    }
+    rows = {r.id: r for r in edited.collect()}
+    assert rows[1].b_tok == ["a", "x", "y", "c"] and rows[5].a_tok == [] and rows[3].a_tok is None and rows[4].b_tok is None
+
+
+def test_filter_on_the_route_does_not_run_the_diff_twice(spark):
+    df = spark.createDataFrame([("a b", "a c")], "a string, b string")
+    out = with_hunk(df, "a", "b").where(F.col("_route") == "hunk")
+    assert _plan(out).count("ArrowEvalPython") == 1 and out.first()["_edits"][0][1:] == (1, 2, 1, 2)
+
+
+def test_a_match_on_its_own_is_not_sorted(spark):
+    df = spark.createDataFrame([("abc", [(1, 1, "x")]), ("abc", [(3, 1, "x")])], "text string, matches " + apply.SPAN)
+    assert [(r.applied, r.n_applied) for r in apply.apply_matches(df).collect()] == [("axc", 1), ("abc", 0)]
+    assert "< 2" in _plan(apply.apply_matches(df))
