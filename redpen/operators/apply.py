@@ -22,21 +22,26 @@ def kept_matches(text: Column, matches: Column) -> Column:
         matches,
         lambda m: (m.offset >= 0) & (m.length >= 0) & (m.offset + m.length <= F.length(text)) & m.replacement.isNotNull(),
     )
-    keyed = F.transform(
-        valid,
-        lambda m, i: F.struct(
-            m.offset.cast("int").alias("offset"), (-m.length).cast("int").alias("minus"), i.alias("i"),
-            m.length.cast("int").alias("length"), m.replacement.alias("replacement"),
-        ),
-    )
+
+    def span(m: Column) -> Column:
+        return F.struct(m.offset.alias("offset"), m.length.alias("length"), m.replacement.alias("replacement"))
+
+    def keyed(found: Column) -> Column:
+        return F.transform(
+            found,
+            lambda m, i: F.struct(
+                m.offset.cast("int").alias("offset"), (-m.length).cast("int").alias("minus"), i.alias("i"),
+                m.length.cast("int").alias("length"), m.replacement.alias("replacement"),
+            ),
+        )
+
     none = F.array().cast(SPAN)
 
     def take(acc: Column, m: Column) -> Column:
-        span = F.struct(m.offset.alias("offset"), m.length.alias("length"), m.replacement.alias("replacement"))
         free = m.offset >= acc.end
         return F.struct(
             F.when(free, m.offset + m.length).otherwise(acc.end).alias("end"),
-            F.when(free, F.concat(acc.kept, F.array(span))).otherwise(acc.kept).cast(SPAN).alias("kept"),
+            F.when(free, F.concat(acc.kept, F.array(span(m)))).otherwise(acc.kept).cast(SPAN).alias("kept"),
         )
 
     def state(end: Column, kept: Column) -> Column:
@@ -56,7 +61,11 @@ def kept_matches(text: Column, matches: Column) -> Column:
 
         return F.aggregate(numbers, state(F.lit(0), none), add, lambda acc: acc.kept)
 
-    return let(F.array_sort(keyed), lambda o: F.when(F.size(o) == 0, none).otherwise(blocks(o)))
+    # A match on its own overlaps nothing, so nothing is sorted or folded.
+    return let(
+        valid,
+        lambda v: F.when(F.size(v) < 2, F.transform(v, span).cast(SPAN)).otherwise(let(F.array_sort(keyed(v)), blocks)),
+    )
 
 
 def spliced(text: Column, kept: Column) -> Column:
