@@ -132,3 +132,51 @@ def test_a_match_on_its_own_is_not_sorted(spark):
     df = spark.createDataFrame([("abc", [(1, 1, "x")]), ("abc", [(3, 1, "x")])], "text string, matches " + apply.SPAN)
     assert [(r.applied, r.n_applied) for r in apply.apply_matches(df).collect()] == [("axc", 1), ("abc", 0)]
     assert "< 2" in _plan(apply.apply_matches(df))
+
+
+def test_stable_characters_are_the_same_kind_for_java_and_python(spark):
+    stable = [chr(c) for c in [*range(0x590), *range(0x2000, 0x2070), *range(0x1F300, 0x1F650)]]
+    df = spark.createDataFrame([(c,) for c in stable], "c string")
+    c = F.col("c")
+    rows = df.select("c", c.rlike(P.WORD).alias("w"), c.rlike(P.WS).alias("s"), c.rlike(P.NOT_STABLE).alias("odd")).collect()
+    assert len(rows) == len(stable) and not any(r.odd for r in rows)
+    assert [r.c for r in rows if r.w != bool(re.fullmatch(r"\w", r.c)) or r.s != bool(re.fullmatch(r"\s", r.c))] == []
+
+
+def test_typed_edits_are_one_pass(spark):
+    """Library tokens, diff, split and spans come from one Arrow function; texts with rare letters bring their tokens."""
+    pairs = [
+        ("it's their  house", "its there house"), ("We can't go", "We cannot go ."), ("a \U00031350 b", "a \U00031350 c"), ("the 中文 x", "the 中 x"),
+        ("café (x)", "café (y) \U0001f600"), ("same", "same"), (None, "x"), ("x", None), ("", "new one"), ("gone", ""), ("  ", "'s"),
+    ]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, original string, corrected string")
+    out = E.with_typed_edits(df, fix=False)
+    assert _plan(out).count("ArrowEvalPython") == 1 and "sequence(" not in _plan(out)
+    tok = {c: X.lib_tokens(F.col(c)) for c in ("original", "corrected")}
+    sides = {r.id: r for r in df.select("id", *[t.alias(c) for c, t in tok.items()]).collect()}
+    differ_ = differ()
+    for r in out.collect():
+        x, y = sides[r.id].original, sides[r.id].corrected
+        if x is None or y is None or r.original == r.corrected:
+            assert r.n_tokens is None and r.edits == []
+            continue
+        assert r.n_tokens == len(x)
+        rebuilt, at = [], 0
+        for e in r.edits:
+            assert "".join(e.o_str.split()) == "".join(x[e.o_start:e.o_end])
+            assert r.original[e.span_offset:e.span_offset + e.span_length] == e.o_str
+            assert e.next_token == (x[e.o_start] if e.o_start < len(x) else None)
+            assert e.prev_token == (x[e.o_start - 1] if e.o_start else None)
+            assert e.prev_token is None or r.original[e.prev_offset:].startswith(e.prev_token)
+            rebuilt += [*x[at:e.o_start], e.c_str]
+            at = e.o_end
+        assert "".join("".join([*rebuilt, *x[at:]]).split()) == "".join(y)
+        assert bool(r.edits) == bool(differ_(x, y)[3])
+
+
+def test_no_list_is_handed_over_to_the_typed_pass(spark):
+    """The size of a list is worked out anew for every row of a batch: the square of the batch."""
+    df = spark.createDataFrame([(1, "a b", "a c")], "id int, original string, corrected string")
+    plan = _plan(E.with_typed_edits(df))
+    line = next(x for x in plan.splitlines() if "ArrowEvalPython" in x)
+    assert "array_join(" in line and "THEN array_join(" in line and "_tok" not in line
