@@ -180,3 +180,17 @@ def test_no_list_is_handed_over_to_the_typed_pass(spark):
     plan = _plan(E.with_typed_edits(df))
     line = next(x for x in plan.splitlines() if "ArrowEvalPython" in x)
     assert "array_join(" in line and "THEN array_join(" in line and "_tok" not in line
+
+
+def test_clean_up_steps_are_walked_only_beside_white_space(spark):
+    """The same text as by all steps in a row, whatever stands beside white space."""
+    rng = random.Random(3)
+    pieces = ["a", "B", "é", "7", "_", "'", '"', "-", ":", ".", ",", "!", "?", ";", " ", "  ", "\n", "\u00a0", "\u2003", "中"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(3000)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    step_by_step = F.col("t")
+    for _, pattern, replacement in P.TOKENIZATION_FIXES:
+        step_by_step = F.regexp_replace(step_by_step, pattern, replacement)
+    rows = df.select("t", X.fix_tokenization(F.col("t")).alias("got"), step_by_step.alias("expected")).collect()
+    assert [r for r in rows if r.got != r.expected] == []
+    assert "ELSE CASE WHEN" in df.select(X.fix_tokenization(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
